@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +82,14 @@ def per_column(df: DataFrame, columns: list[str], metrics, keys: list[str] | Non
     return grouped.agg(F.array(*structs).alias("_rows")).select(*keys, F.inline("_rows"))
 
 
+def by_column(rows: DataFrame, columns: list[str]) -> dict[str, Row]:
+    """Per-column statistics brought to the driver: at most one row for each named column."""
+    got = rows.where(F.col("column_name").isin(columns)).limit(len(columns) + 1).collect()
+    if len(got) > len(columns):
+        raise ValueError("more than one row per column")
+    return {r["column_name"]: r for r in got}
+
+
 def to_metric_rows(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     """Wide metric columns to ``(ids..., metric, value)``."""
     cast = df.select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics])

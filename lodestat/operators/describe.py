@@ -82,13 +82,21 @@ def median_deviation(df: DataFrame, columns: list[str], keys: list[str] | None =
     """``(keys..., column_name, median, mad)``: median and median absolute deviation."""
     keys = keys or []
     by = [*keys, "column_name"]
-    counts = O.long_values(df, columns, keys).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = O.cumulate(counts, "value", ["cnt"], by, bounded_keys=not keys)
-    med = O.pick_quantiles(ranked, by, {"median": 0.5}).drop("n")
-    # deviations come from the distinct values with their counts, not from the rows again
-    away = O.join_small(counts, med, by, bounded=not keys).withColumn("value", F.abs(F.col("value") - F.col("median")))
-    away = away.groupBy(*by, "value").agg(F.sum("cnt").alias("cnt"))
-    mad = O.pick_quantiles(O.cumulate(away, "value", ["cnt"], by, bounded_keys=not keys), by, {"mad": 0.5})
+    med = O.exact_quantiles(df, columns, {"median": 0.5}, keys).drop("n")
+    long = O.long_values(df, columns, keys)
+    if keys:
+        away = O.join_small(long, med, by, bounded=False)
+        away = away.withColumn("value", F.abs(F.col("value") - F.col("median"))).drop("median")
+    else:  # one median per column
+        known = C.by_column(med, columns)
+        centre = F.lit(None).cast("double")
+        for c, r in known.items():
+            centre = F.when(F.col("column_name") == c, F.lit(r["median"])).otherwise(centre)
+        away = long.withColumn("value", F.abs(F.col("value") - centre))
+        med = df.sparkSession.createDataFrame(
+            [(c, r["median"]) for c, r in known.items()], "column_name string, median double"
+        )
+    mad = O.pick_quantiles(O.value_ranks(away, by, bounded_keys=not keys), by, {"mad": 0.5})
     return O.join_small(med, mad.drop("n"), by, bounded=not keys)
 
 
