@@ -99,3 +99,44 @@ def to_metric_rows(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFra
 def key_bucket(keys: list[str], buckets: int, seed: int = 42) -> Column:
     """Deterministic bucket in 0..buckets-1 from the key columns."""
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+
+
+# fixed values: Hart's rational approximation of the normal tail in West's form (double precision)
+NORMAL_TOP = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+NORMAL_BOTTOM = [
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831,
+    793.826512519948, 440.413735824752,
+]
+
+
+def normal_tail(z: Column) -> Column:
+    """Upper normal tail of |z| as a column expression."""
+    x = F.abs(z)
+
+    def poly(coefs):
+        out = F.lit(coefs[0])
+        for k in coefs[1:]:
+            out = out * x + k
+        return out
+
+    far = x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + 0.65))))
+    density = F.exp(-x * x / 2)
+    return F.when(x < 7.07106781186547, density * poly(NORMAL_TOP) / poly(NORMAL_BOTTOM)).otherwise(
+        density / far / 2.506628274631
+    )
+
+
+def normal_cdf(z: Column) -> Column:
+    return F.when(z > 0, 1 - normal_tail(z)).otherwise(normal_tail(z))
+
+
+def normal_two_sided(z: Column) -> Column:
+    return F.least(F.lit(1.0), 2 * normal_tail(z))
+
+
+def kolmogorov_p(lam: Column, terms: int = 100) -> Column:
+    """Limit tail of the Kolmogorov statistic."""
+    k = F.sequence(F.lit(1), F.lit(terms))
+    term = F.transform(k, lambda i: F.when(i % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * i * i * lam * lam))
+    series = F.aggregate(term, F.lit(0.0), lambda a, b: a + b)
+    return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))

@@ -548,13 +548,6 @@ def datetime_profile(df: DataFrame, column: str) -> DataFrame:
     return whole.unionByName(counts)
 
 
-SORTS = {
-    "descending": [F.desc, "total"],
-    "ascending": [F.asc, "total"],
-    "alphabetical": [F.asc, "category"],
-}
-
-
 def group_sum(df: DataFrame, category: str, value: str) -> DataFrame:
     """Sum by category with share, rank, top / bottom three flags and concentration."""
     sums = df.groupBy(F.col(category).cast("string").alias("category")).agg(F.sum(C.number(df, value)).alias("total"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestat-checkpoint-"))
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder name below the shared folder of the cluster, or a local one in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestat-")
+    return f"{base.rstrip('/')}/lodestat-{uuid.uuid4().hex}"
