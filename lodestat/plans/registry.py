@@ -78,7 +78,8 @@ def tidy(df: DataFrame, approx: tuple[str, ...] | None = None) -> DataFrame:
     names = [c for c in floats if approx is None or c in approx]
 
     def short(c):
-        near = F.when(F.abs(c) < 1e-10, F.lit(0.0)).otherwise(F.col(c).cast("double"))
+        # the tiny factor moves exact decimal ties off the rounding edge in both engines
+        near = F.when(F.abs(c) < 1e-10, F.lit(0.0)).otherwise(F.col(c).cast("double") * 1.000000000001)
         return F.format_string("%.8e", near).try_cast("double").alias(c)
 
     return df.select(*[short(c) if c in names else F.col(c) for c in df.columns])
@@ -97,7 +98,7 @@ def query(name: str, sql: str | None = None, approx: tuple[str, ...] = ()):
         QUERIES[name] = run
         if sql is not None:
             if approx:
-                swap = ", ".join(f"CAST(printf('%.8e', CASE WHEN abs({c}) < 1e-10 THEN 0.0 ELSE CAST({c} AS DOUBLE) END) AS DOUBLE) AS {c}" for c in approx)
+                swap = ", ".join(f"CAST(printf('%.8e', CASE WHEN abs({c}) < 1e-10 THEN 0.0 ELSE CAST({c} AS DOUBLE) * CAST(1.000000000001 AS DOUBLE) END) AS DOUBLE) AS {c}" for c in approx)
                 SQL[name] = f"SELECT * REPLACE ({swap}) FROM ({sql}) final"
             else:
                 SQL[name] = sql
