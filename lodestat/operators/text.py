@@ -57,9 +57,11 @@ def remove_stopwords(tokens: Column, stopwords: list[str] | None = None) -> Colu
 
 
 def ngrams(tokens: Column, n: int = 2) -> Column:
-    last = F.size(tokens) - n + 1
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    last = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    out = F.slice(tokens, F.lit(1), last)
+    for j in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, F.lit(1 + j), last), lambda a, b: F.concat_ws(" ", a, b))
+    return out
 
 
 # ---- stemming ----------------------------------------------------------------

@@ -414,4 +414,4 @@ def _(t):
 @query("text_classifier")
 def _(t):
     data = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality")
-    return S.text_classifier(data, ["doc_id"], "text", "quality", ["logistic", "naive_bayes_multinomial", "linear_svm", "random_forest"])
+    return S.text_classifier(data, ["doc_id"], "text", "quality", ["logistic", "naive_bayes_multinomial", "linear_svm", "random_forest"], vocab=1000, folds=2)
