@@ -140,3 +140,21 @@ def kolmogorov_p(lam: Column, terms: int = 100) -> Column:
     term = F.transform(k, lambda i: F.when(i % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * i * i * lam * lam))
     series = F.aggregate(term, F.lit(0.0), lambda a, b: a + b)
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work when the input has fewer splits than cores.
+
+    Inputs with enough splits, the normal case on a cluster, are left alone.
+    """
+    if df.isStreaming:
+        return df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def corr(x: Column, y: Column) -> Column:
+    """Pearson over complete pairs; null for a constant side (the built-in one fails there in ANSI mode)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

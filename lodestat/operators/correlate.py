@@ -24,7 +24,7 @@ def corr_pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             F.struct(
                 F.lit(a).alias("column_a"),
                 F.lit(b).alias("column_b"),
-                C.or_zero(F.corr(x, y)).alias("r"),
+                C.or_zero(C.corr(x, y)).alias("r"),
                 F.count_if(x.isNotNull() & y.isNotNull()).alias("n"),
             )
         )
@@ -213,7 +213,7 @@ def top_pair_fits(df: DataFrame, columns: list[str] | None = None, top: int = 4)
             F.struct(
                 F.lit(a).alias("column_a"),
                 F.lit(b).alias("column_b"),
-                C.or_zero(F.corr(x, y)).alias("r"),
+                C.or_zero(C.corr(x, y)).alias("r"),
                 F.regr_slope(y, x).alias("slope"),
                 F.regr_intercept(y, x).alias("intercept"),
             )

@@ -118,7 +118,7 @@ def score_f_regression(df: DataFrame, columns: list[str], target: str) -> DataFr
 
     def metrics(d, c):
         x = C.number(d, c)
-        return [F.corr(x, y).alias("r"), F.count_if(x.isNotNull() & y.isNotNull()).alias("n")]
+        return [C.corr(x, y).alias("r"), F.count_if(x.isNotNull() & y.isNotNull()).alias("n")]
 
     r2 = F.col("r") ** 2
     rows = C.per_column(df, columns, metrics)

@@ -343,7 +343,7 @@ def autocorrelation(s: DataFrame, keys: list[str], max_lag: int = 50, chunk: int
     """Correlation of y with its lag, for lags up to half the length and ``max_lag``."""
     rows = lag_array(s, keys, max_lag, chunk).select(*keys, "y", "n_rows", F.posexplode("lags").alias("k", "x"))
     rows = rows.where(F.col("x").isNotNull()).withColumn("lag", F.col("k") + 1).where(F.col("lag") <= F.floor(F.col("n_rows") / 2))
-    out = rows.groupBy(*keys, "lag").agg(F.corr("x", "y").alias("r"), F.max("n_rows").alias("n"))
+    out = rows.groupBy(*keys, "lag").agg(C.corr(F.col("x"), F.col("y")).alias("r"), F.max("n_rows").alias("n"))
     out = out.where(F.col("r").isNotNull() & ~F.isnan("r"))
     return out.withColumn("significant", F.abs("r") > 2 / F.sqrt("n"))
 

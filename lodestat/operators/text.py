@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ def stem_terms(terms: DataFrame, column: str = "term") -> DataFrame:
 def text_features(df: DataFrame, text: str) -> DataFrame:
     """Counts per text and the ten most frequent words that are no stop words."""
     t = F.col(text)
-    out = df.withColumn("_w", words(clean_text(t)))
+    out = C.spread(df).withColumn("_w", words(clean_text(t)))
     w = F.col("_w")
     n, kinds = F.size(w), F.size(F.array_distinct(w))
     out = out.withColumns(
@@ -178,7 +179,7 @@ def text_features(df: DataFrame, text: str) -> DataFrame:
 
 def common_words(df: DataFrame, key: list[str], text: str, top: int = 10) -> DataFrame:
     """Most frequent words per text without stop words."""
-    rows = df.select(*key, F.explode(remove_stopwords(words(clean_text(F.col(text))))).alias("word"))
+    rows = C.spread(df.select(*key, text)).select(*key, F.explode(remove_stopwords(words(clean_text(F.col(text))))).alias("word"))
     counts = rows.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("cnt"))
     return top_values(counts, key, top, [F.desc("cnt"), F.asc("word")])
 
@@ -234,7 +235,10 @@ def terms_1_2(tokens: Column) -> Column:
 
 def term_counts(df: DataFrame, key: list[str], text: str, two: bool = True) -> DataFrame:
     """``(key..., term, tf)``."""
-    base = df.select(*key, term_tokens(F.col(text)).alias("_t"))
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"({WORD}{WORD}+)"), F.lit(1))
+    base = C.spread(df.select(*key, text)).select(*key, found.alias("_f"))
+    # hash lookup of the stop words instead of one comparison per listed word
+    base = StopWordsRemover(inputCol="_f", outputCol="_t", stopWords=STOPWORDS_ENGLISH, locale="en_US").transform(base)
     terms = terms_1_2(F.col("_t")) if two else F.col("_t")
     return base.select(*key, F.explode(terms).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -294,7 +298,8 @@ def sentiment(df: DataFrame, key: list[str], text: str, lexicon: DataFrame | Non
     """Compound score s / sqrt(s^2 + 15) of the lexicon words per text; no hit is neutral."""
     lexicon = lexicon if lexicon is not None else lexicon_frame(df.sparkSession)
     small = lexicon.limit(MAX_LEXICON + 1).count() <= MAX_LEXICON
-    tokens = df.select(*key, F.explode(words(F.regexp_replace(F.lower(F.col(text)), PUNCTUATION, " "))).alias("word"))
+    found = words(F.regexp_replace(F.lower(F.col(text)), PUNCTUATION, " "))
+    tokens = C.spread(df.select(*key, text)).select(*key, F.explode(found).alias("word"))
     hits = tokens.join(F.broadcast(lexicon) if small else lexicon, "word")
     sums = hits.groupBy(*key).agg(F.sum("score").alias("_s"), F.count(F.lit(1)).alias("hits"))
     out = df.select(*key).join(sums, key, "left")
@@ -345,7 +350,7 @@ def entities(df: DataFrame, key: list[str], text: str, patterns: dict[str, str]
         hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
         gaps = F.split(t, pattern, -1)
         found.append(F.struct(F.lit(label).alias("label"), hits.alias("hits"), gaps.alias("gaps")))
-    rows = df.where(t.isNotNull()).select(*key, F.inline(F.array(*found))).where(F.size("hits") > 0)
+    rows = C.spread(df.where(t.isNotNull()).select(*key, text)).select(*key, F.inline(F.array(*found))).where(F.size("hits") > 0)
 
     # running offset: gap, hit, gap, hit, ...
     zipped = F.zip_with(F.slice(F.col("gaps"), F.lit(1), F.size("hits")), "hits", lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))

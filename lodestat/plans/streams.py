@@ -104,7 +104,7 @@ def _(t):
     approx=("error_rate", "latency_mean"),
 )
 def _(t):
-    out = M.monitor_metrics(log(events_in_parts(t, 4)), "ts", "is_error", "latency", "1h", late="10 minutes")
+    out = M.monitor_metrics(log(events_stream(t)), "ts", "is_error", "latency", "1h", late="10 minutes")
     done = table(t, out, "append")
     return done.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "predictions", "error_rate", "latency_mean")
 
