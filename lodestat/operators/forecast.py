@@ -214,13 +214,17 @@ def forecast_lag_model(s: DataFrame, keys: list[str], periods: int = 10, lookbac
     model = LinearRegression(maxIter=50, regParam=1e-6).fit(rows)
     h, w = O.with_halo(s, keys, lookback)
     tail = O.drop_halo(h.withColumn("window", F.collect_list("y").over(w.rowsBetween(-(lookback - 1), 0)))).where(F.col("pos") == F.col("n_rows") - 1)
-    state = tail.where(F.size("window") == lookback).select(*keys, "window", F.array().cast("array<double>").alias("path"))
-    coef, icept = [float(c) for c in model.coefficients], float(model.intercept)
-    for _ in range(periods):  # the model is a few numbers: the roll is a column expression
-        nxt = F.aggregate(F.zip_with("window", F.array(*[F.lit(c) for c in coef]), lambda a, b: a * b), F.lit(icept), lambda a, b: a + b)
-        state = state.withColumn("_y", nxt)
-        state = state.select(*keys, F.concat(F.slice("window", 2, lookback - 1), F.array("_y")).alias("window"), F.concat("path", F.array("_y")).alias("path"))
-    return state.select(*keys, F.posexplode("path").alias("step", "forecast")).withColumn("step", F.col("step") + 1)
+    coef, icept = F.array(*[F.lit(float(c)) for c in model.coefficients]), F.lit(float(model.intercept))
+    none = F.array().cast("array<double>")
+
+    def roll(acc, _):  # the model is a few numbers, so the roll is one column expression
+        nxt = F.array(F.aggregate(F.zip_with(acc["window"], coef, lambda a, b: a * b), icept, lambda a, b: a + b))
+        return F.struct(F.concat(F.slice(acc["window"], 2, lookback - 1), nxt).alias("window"), F.concat(acc["path"], nxt).alias("path"))
+
+    start = F.struct(F.col("window"), none.alias("path"))
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(periods)), start, roll, lambda acc: acc["path"])
+    full = tail.where(F.size("window") == lookback).select(*keys, path.alias("path"))
+    return full.select(*keys, F.posexplode("path").alias("step", "forecast")).withColumn("step", F.col("step") + 1)
 
 
 # ---- stationarity ------------------------------------------------------------
