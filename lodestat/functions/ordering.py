@@ -27,16 +27,22 @@ def same_keys(left: str, right: str, keys: list[str]) -> Column:
 
 
 def cuts(value: Column, n: int) -> Column:
-    """Sketch quantiles that split ``value`` into ``n`` ranges of similar size."""
-    return F.array_distinct(F.percentile_approx(value, [i / n for i in range(1, n)], max(1000, 20 * n)))
+    """Sketch quantiles that split ``value`` into ``n`` ranges of similar size, and every ~sqrt(n)-th of them."""
+    step = max(1, int(n**0.5))
+    fine = F.array_distinct(F.percentile_approx(value, [i / n for i in range(1, n)], max(1000, 20 * n)))
+    return F.struct(fine.alias("fine"), F.filter(fine, lambda b, i: i % step == step - 1).alias("coarse"))
 
 
 def range_of(value: Column, bounds: Column, n: int) -> Column:
     """Number of cuts below the value; two levels, so about 2*sqrt(n) compares."""
     step = max(1, int(n**0.5))
-    coarse = F.filter(bounds, lambda b, i: (i % step == step - 1) & (b < value))
-    skip = F.size(coarse) * step
-    return skip + F.size(F.filter(F.slice(bounds, skip + 1, F.lit(step)), lambda b: b < value))
+    skip = F.size(F.filter(bounds["coarse"], lambda b: b < value)) * step
+    return skip + F.size(F.filter(F.slice(bounds["fine"], skip + 1, F.lit(step)), lambda b: b < value))
+
+
+def is_cut(value: Column, bounds: Column, below: Column) -> Column:
+    """Whether the value itself is a cut, given the number of cuts below it."""
+    return F.coalesce(F.try_element_at(bounds["fine"], below + 1) == value, F.lit(False))
 
 
 def join_small(df: DataFrame, small: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
@@ -190,10 +196,14 @@ def with_position(
     named = named.withColumn("_o2", sort_number(df, order_by[1]) if len(order_by) > 1 else F.lit(0.0))
     bounds = named.agg(cuts(F.col("_o1"), k).alias("_c1"), cuts(F.col("_o2"), k).alias("_c2"))
     cut = named.crossJoin(F.broadcast(bounds))
-    on_cut = F.array_contains("_c1", F.col("_o1"))
-    cut = cut.withColumn(
-        "_r1", F.coalesce(2 * range_of(F.col("_o1"), F.col("_c1"), k) + on_cut.cast("int"), F.lit(-1))
-    ).withColumn("_r2", F.when(on_cut, range_of(F.col("_o2"), F.col("_c2"), k)).otherwise(F.lit(0)))
+    cut = cut.withColumn("_r1", range_of(F.col("_o1"), F.col("_c1"), k))
+    cut = cut.withColumn("_on", is_cut(F.col("_o1"), F.col("_c1"), F.col("_r1")))
+    cut = cut.withColumns(
+        {
+            "_r1": F.coalesce(2 * F.col("_r1") + F.col("_on").cast("int"), F.lit(-1)),
+            "_r2": F.when(F.col("_on"), F.coalesce(range_of(F.col("_o2"), F.col("_c2"), k), F.lit(-1))).otherwise(F.lit(0)),
+        }
+    ).drop("_on")
     cut = cut.drop("_c1", "_c2", "_o1", "_o2")
     sizes = cut.groupBy(*keys, "_r1", "_r2").agg(F.count(F.lit(1)).alias("_m"))
     by_key = Window.partitionBy(*[F.col(c) for c in keys]) if keys else Window.partitionBy(F.lit(0))

@@ -114,8 +114,9 @@ def corr_kendall(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     bounds = pairs.groupBy(*PAIR).agg(O.cuts(F.col("x"), k).alias("_cx"), O.cuts(F.col("y"), k).alias("_cy"))
     cut = pairs.join(F.broadcast(bounds), PAIR)
     for a in ("x", "y"):
-        on_cut = F.array_contains(f"_c{a}", F.col(a))
-        cut = cut.withColumn(f"b{a}", 2 * O.range_of(F.col(a), F.col(f"_c{a}"), k) + on_cut.cast("int"))
+        cut = cut.withColumn("_r", O.range_of(F.col(a), F.col(f"_c{a}"), k))
+        on_cut = O.is_cut(F.col(a), F.col(f"_c{a}"), F.col("_r"))
+        cut = cut.withColumn(f"b{a}", 2 * F.col("_r") + on_cut.cast("int")).drop("_r")
     cut = cut.drop("_cx", "_cy")
 
     cells = cut.groupBy(*PAIR, "bx", "by").agg(F.sum("w").alias("w"))

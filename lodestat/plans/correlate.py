@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from lodestat.operators import correlate as R
 from lodestat.plans.registry import LINEITEM_NULLS, query
 
@@ -19,6 +21,16 @@ def pearson_sql(table, cols):
     )
 
 
+# two products of other columns, so that some pairs are strong
+WIDE = f"(SELECT *, l_extendedprice * (1 - l_discount) AS revenue, l_quantity * l_tax AS levy FROM {LINEITEM_NULLS} z)"
+MORE = [*NUM, "revenue", "levy"]
+PW = f"p AS ({pearson_sql(WIDE, MORE)})"
+
+
+def wide(t):
+    return t.lineitem_nulls.withColumns({"revenue": F.col("l_extendedprice") * (1 - F.col("l_discount")), "levy": F.col("l_quantity") * F.col("l_tax")})
+
+
 P = f"p AS ({pearson_sql(LINEITEM_NULLS, NUM)})"
 
 
@@ -63,52 +75,52 @@ STRENGTH = """CASE WHEN abs(r) >= 0.9 THEN 'very strong' WHEN abs(r) >= 0.7 THEN
 
 @query(
     "strong_pairs",
-    f"""WITH {P} SELECT column_a, column_b, r, n, {STRENGTH} AS strength,
+    f"""WITH {PW} SELECT column_a, column_b, r, n, {STRENGTH} AS strength,
         CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM p WHERE abs(r) >= 0.3""",
     approx=("r",),
 )
 def _(t):
-    return R.strong_pairs(t.lineitem_nulls, NUM, threshold=0.3)
+    return R.strong_pairs(wide(t), MORE, threshold=0.3)
 
 
 @query(
     "corr_summary",
-    f"""WITH {P} SELECT avg(r) AS mean, median(r) AS median, stddev_samp(r) AS std, min(r) AS min, max(r) AS max,
+    f"""WITH {PW} SELECT avg(r) AS mean, median(r) AS median, stddev_samp(r) AS std, min(r) AS min, max(r) AS max,
         avg(abs(r)) AS abs_mean, {", ".join(f"count(*) FILTER ({STRENGTH} = '{s}') AS {s.replace(' ', '_')}" for s in ("very strong", "strong", "moderate", "weak", "very weak"))},
         arg_max(column_a || '|' || column_b, abs(r)) AS max_pair FROM p""",
     approx=("mean", "median", "std", "min", "max", "abs_mean"),
 )
 def _(t):
-    return R.corr_summary(t.lineitem_nulls, NUM)
+    return R.corr_summary(wide(t), MORE)
 
 
 @query(
     "corr_network",
-    f"""WITH {P} SELECT column_a AS source, column_b AS target, r, 5 * abs(r) AS weight,
+    f"""WITH {PW} SELECT column_a AS source, column_b AS target, r, 5 * abs(r) AS weight,
         CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS sign FROM p WHERE abs(r) >= 0.3""",
     approx=("r", "weight"),
 )
 def _(t):
-    return R.corr_network(t.lineitem_nulls, NUM)
+    return R.corr_network(wide(t), MORE)
 
 
 @query(
     "top_pair_fits",
-    f"WITH {P} SELECT column_a, column_b, r, slope, intercept FROM p ORDER BY abs(r) DESC LIMIT 4",
+    f"WITH {PW} SELECT column_a, column_b, r, slope, intercept FROM p ORDER BY abs(r) DESC LIMIT 4",
     approx=("r", "slope", "intercept"),
 )
 def _(t):
-    return R.top_pair_fits(t.lineitem_nulls, NUM)
+    return R.top_pair_fits(wide(t), MORE)
 
 
 @query(
     "feature_interactions",
-    f"""WITH {P} SELECT column_a, column_b, r, n, CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'moderate' END AS kind
+    f"""WITH {PW} SELECT column_a, column_b, r, n, CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'moderate' END AS kind
         FROM p WHERE abs(r) > 0.5""",
     approx=("r",),
 )
 def _(t):
-    return R.feature_interactions(t.lineitem_nulls, NUM, top_n=4)
+    return R.feature_interactions(wide(t), MORE, top_n=6)
 
 
 @query("corr_test")
@@ -128,6 +140,4 @@ def _(t):
     approx=("slope", "intercept", "r2", "rmse", "mae", "residual_mean", "residual_std"),
 )
 def _(t):
-    from pyspark.sql import functions as F
-
     return R.residual_fit(t.lineitem, "l_quantity", "l_extendedprice").withColumn("residual_mean", F.round("residual_mean", 4))
