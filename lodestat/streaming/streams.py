@@ -49,7 +49,11 @@ def ks_gap(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
 
 
 def drift_events(stream: DataFrame, key: str, value: str, time: str, window: int = 100, threshold: float = 0.05) -> DataFrame:
-    """KS comparison of a reference window with the current one per key; on drift the reference is replaced."""
+    """KS comparison of a reference window with the current one per key; on drift the reference is replaced.
+
+    The windows follow the time order, so one key's rows of a micro-batch are
+    sorted together; the source's rows-per-trigger option bounds them.
+    """
 
     def update(keys, batches, state):
         ref, cur, seen = ([], [], 0) if not state.exists else (list(state.get[0]), list(state.get[1]), state.get[2])
