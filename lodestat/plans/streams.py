@@ -17,7 +17,7 @@ def events_stream(t):
     return M.file_stream(t.spark, t.folder, t.events.schema, pattern="events.parquet")
 
 
-def events_in_parts(t, parts=8):
+def events_in_parts(t, parts=3):
     """Events cut by time into several files, so that there are several micro-batches."""
     path = scratch_folder(t.spark)
     t.events.repartitionByRange(parts, "ts").write.parquet(path)
@@ -49,13 +49,13 @@ def _(t):
 
 @query("stream_drift")
 def _(t):
-    return table(t, M.drift_events(events_in_parts(t, 4), "event_type", "value", "ts", 100, 0.05), "append")
+    return table(t, M.drift_events(events_in_parts(t), "event_type", "value", "ts", 100, 0.05), "append")
 
 
 @query("stream_learn")
 def _(t):
     learner = M.OnlineLinear(["value", "user_id"], "hit")
-    stream = events_in_parts(t).withColumn("hit", (F.col("value") > 50).cast("int"))
+    stream = events_in_parts(t, 8).withColumn("hit", (F.col("value") > 50).cast("int"))
     M.fold_batches(stream, learner.partial_fit, scratch_folder(t.spark))
     rows = [(i, s, learner.trend()) for i, s in enumerate(learner.scores)]
     return t.spark.createDataFrame(rows, "batch int, score double, trend string")
