@@ -6,11 +6,13 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestat.llm.common import read_table
 from lodestat.llm.exact import dedup_exact
 from lodestat.llm.mixing import poisson_mix
 from lodestat.llm.pii import find_personal
+from lodestat.llm import quality
 from lodestat.llm.secrets import find_secrets
 from lodestat.llm.tokens import count_tokens
 
@@ -44,6 +46,14 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal(read_table(spark, folder, "documents"))
 
 
+@query("op3_compression_quality")
+def compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = quality.fit_labels(docs, read_table(spark, folder, "labels"))
+    out = quality.score(docs, model)
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
