@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestat.llm.common import read_table
 from lodestat.llm.exact import dedup_exact
 from lodestat.llm.mixing import poisson_mix
+from lodestat.llm.neardup import near_duplicates
 from lodestat.llm.pii import find_personal
 from lodestat.llm import quality
 from lodestat.llm.secrets import find_secrets
@@ -54,6 +55,11 @@ def compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op4_setsketch_dedup")
+def setsketch_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read_table(spark, folder, "documents"), percent=85)
+
+
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
