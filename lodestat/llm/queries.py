@@ -12,6 +12,7 @@ from lodestat.llm.common import read_table
 from lodestat.llm.exact import dedup_exact
 from lodestat.llm.mixing import poisson_mix
 from lodestat.llm.neardup import near_duplicates
+from lodestat.llm.packing import pack
 from lodestat.llm.pii import find_personal
 from lodestat.llm import quality
 from lodestat.llm.secrets import find_secrets
@@ -97,3 +98,8 @@ def mix(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_secrets")
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(read_table(spark, folder, "documents"))
+
+
+@query("op10_retrieval_packing")
+def retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(read_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
