@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.common import read_table
 from lodestat.llm.exact import dedup_exact
+from lodestat.llm.imatch import compare_with_edits
 from lodestat.llm.mixing import poisson_mix
 from lodestat.llm.neardup import near_duplicates
 from lodestat.llm.packing import pack
@@ -77,6 +78,11 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_exact(read_table(spark, folder, "documents"), f"digest_index_{uuid.uuid4().hex}")
 
 
+@query("op6_imatch")
+def imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return compare_with_edits(read_table(spark, folder, "documents"))
+
+
 MIX_SQL = """
     WITH s AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM documents GROUP BY 1),
     w AS (SELECT source, n_chars, sqrt(n_chars) AS raw FROM s),
