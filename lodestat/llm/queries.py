@@ -17,6 +17,7 @@ from lodestat.llm.packing import pack
 from lodestat.llm.pii import find_personal
 from lodestat.llm import quality
 from lodestat.llm.secrets import find_secrets
+from lodestat.llm.substrings import remove_repeats
 from lodestat.llm.tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +84,11 @@ def imatch(spark: SparkSession, folder: str) -> DataFrame:
     return compare_with_edits(read_table(spark, folder, "documents"))
 
 
+@query("op7_prefix_doubling")
+def prefix_doubling(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(read_table(spark, folder, "documents")).drop("kept")
+
+
 MIX_SQL = """
     WITH s AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM documents GROUP BY 1),
     w AS (SELECT source, n_chars, sqrt(n_chars) AS raw FROM s),
