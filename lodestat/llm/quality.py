@@ -15,11 +15,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import each_text, unit_hash, whole_text
+from lodestat.llm.common import each_text, materialise, unit_hash, whole_text
 
 BLOCK = 1024
-#: Blocks of labelled text per class for the dictionaries, and labelled rows for the calibration; documented bounds of what is collected.
-DICTIONARY_BLOCKS, CALIBRATION_ROWS = 4_000, 20_000
+#: Documented bounds of the fit: labelled rows per class that offer text to the dictionaries, labelled rows for the calibration, and
+#: blocks per class that build a dictionary.
+DICTIONARY_ROWS, CALIBRATION_ROWS, DICTIONARY_BLOCKS = 3_000, 8_000, 4_000
 DICTIONARY_BYTES = 112_640
 
 
@@ -109,26 +110,29 @@ def build_dictionary(blocks: list[bytes], size: int = DICTIONARY_BYTES) -> bytes
 def fit(labelled: DataFrame, label: str = "label", key: str = "doc_id", text: str = "text", seed: str = "quality") -> Model:
     """Fit on the rows of ``labelled`` (``label`` 1 good, 0 bad; others are ignored).
 
-    Half of the rows, by a hash of the key, offer blocks to the dictionaries (at most ``DICTIONARY_BLOCKS`` per class, chosen by hash
-    over whole texts); at most ``CALIBRATION_ROWS`` of the others, also by hash, calibrate. Without two classes the score is constant.
+    Half of the rows, by a hash of the key, offer blocks of their whole texts to the dictionaries, of which about ``DICTIONARY_BLOCKS``
+    per class are drawn by hash; the others calibrate. Without two classes the score is constant.
     """
     rows = labelled.where(F.col(label).isin(0, 1)).select(
         F.col(key).alias("id"), F.col(label).cast("int").alias("label"), whole_text(text).alias("body"),
         unit_hash(F.col(key), seed=seed).alias("u"),
     )
-    cut = rows.where("u < 0.5").select("id", "label", F.explode(_blocks(F.col("body"))).alias("block"))
-    cut = cut.withColumn("pick", unit_hash(F.col("id"), F.col("block"), seed=seed))
-    blocks = {}
-    for side in (0, 1):
-        chosen = cut.where(F.col("label") == side).orderBy("pick", "id").select("block").limit(DICTIONARY_BLOCKS)
-        blocks[side] = [r[0].encode("utf-8", "surrogatepass") for r in chosen.collect()]
-    good, bad = build_dictionary(blocks[1]), build_dictionary(blocks[0])
-    rest = rows.where("u >= 0.5").orderBy("u", "id").limit(CALIBRATION_ROWS)
-    found = each_text(rest, ["label"], lambda t: features(t, good, bad), "a double, b double, c double", "body").collect()
+    cut = rows.where("u < 0.5").select("id", "label", F.posexplode(_blocks(F.col("body"))).alias("at", "block"))
+    cut = cut.withColumn("pick", unit_hash(F.col("id"), F.col("at"), seed=seed))
+    sizes = {r["label"]: r["count"] for r in cut.groupBy("label").count().collect()}
+    share = {c: min(1.0, DICTIONARY_BLOCKS / n) for c, n in sizes.items()}
+    blocks: dict[int, list[bytes]] = {0: [], 1: []}
+    if share:
+        drawn = cut.where(F.col("pick") < F.when(F.col("label") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+        for r in drawn.select("label", "block").limit(4 * DICTIONARY_BLOCKS).collect():
+            blocks[r["label"]].append(r["block"].encode("utf-8", "surrogatepass"))
+    good, bad = build_dictionary(sorted(blocks[1])), build_dictionary(sorted(blocks[0]))
+    found = each_text(rows.where("u >= 0.5"), ["label"], lambda t: features(t, good, bad), "a double, b double, c double", "body")
+    found = sorted(found.limit(4 * CALIBRATION_ROWS).collect())
     y = np.array([r["label"] for r in found], dtype=float)
     if len(set(y)) < 2:
-        share = (sum(map(bool, blocks[1])) + 1) / (len(blocks[0]) + len(blocks[1]) + 2)
-        return Model(good, bad, (math.log(share / (1 - share)), *[0.0] * 5), (0.0,) * 5, (1.0,) * 5)
+        odds = (len(blocks[1]) + 1) / (len(blocks[0]) + 1)
+        return Model(good, bad, (math.log(odds), *[0.0] * 5), (0.0,) * 5, (1.0,) * 5)
     x = expand(np.array([[r["a"], r["b"], r["c"]] for r in found]))
     mean, scale = x.mean(0), np.where(x.std(0) > 1e-12, x.std(0), 1.0)
     return Model(good, bad, tuple(logistic((x - mean) / scale, y)), tuple(mean), tuple(scale))
@@ -152,12 +156,20 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return each_text(docs, [key, *(extra or [])], row, "score double, predicted int", text)
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
-    """Fit on documents with a row in ``labels`` (``key, quality``) whose crc32 of the key as text, modulo 3, isn't 1."""
+def fit_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", seed: str = "quality") -> Model:
+    """Fit on documents with a row in ``labels`` (``key, quality``) whose crc32 of the key as text, modulo 3, isn't 1.
+
+    At most ``DICTIONARY_ROWS`` rows of either class and ``CALIBRATION_ROWS`` more are drawn by a hash of the key. The keys drawn are
+    broadcast, at most as many as these bounds say, so the documents aren't shuffled.
+    """
     marks = labels.select(F.col(key).alias("__id"), F.col("quality").alias("__quality")).where(F.col("__quality").isin(0, 1))
-    marks = marks.where(~held_out(F.col("__id"))).dropDuplicates(["__id"])
-    rows = docs.select(key, "text").join(marks, F.col(key) == F.col("__id"))
-    return fit(rows.select(key, "text", F.col("__quality").alias("label")), key=key)
+    marks = marks.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.min("__quality").alias("__quality"))
+    marks = marks.withColumn("__u", unit_hash(F.col("__id"), seed=seed))
+    parts = [marks.where((F.col("__u") < 0.5) & (F.col("__quality") == c)).orderBy("__u", "__id").limit(DICTIONARY_ROWS) for c in (0, 1)]
+    parts.append(marks.where(F.col("__u") >= 0.5).orderBy("__u", "__id").limit(CALIBRATION_ROWS))
+    drawn = parts[0].union(parts[1]).union(parts[2])
+    rows = docs.select(key, "text").join(F.broadcast(drawn.select("__id", "__quality")), F.col(key) == F.col("__id"))
+    return fit(materialise(rows.select(key, "text", F.col("__quality").alias("label"))), key=key, seed=seed)
 
 
 def held_out(key: Column) -> Column:
