@@ -16,7 +16,8 @@ from lodestat.functions.columns import number
 
 
 def range_count(df: DataFrame) -> int:
-    return max(2, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """As many ranges as shuffle partitions, which the operator of a cluster sets by the size of the data."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def same_keys(left: str, right: str, keys: list[str]) -> Column:
@@ -176,11 +177,24 @@ def sort_number(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.encode(F.substring(c, 1, 6), "utf-8")), 12, "0")
-        return F.conv(F.substring(head, 1, 12), 16, 10).cast("double")
+        return string_number(c, F.lit(0))
     return c.cast("double")
 
 
+def string_number(c: Column, skip: Column) -> Column:
+    """Six bytes of a string after ``skip`` bytes, as a number."""
+    head = F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 2 * skip + 1, F.lit(12)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
+def common_bytes(low: Column, high: Column) -> Column:
+    """Number of leading bytes in which two strings agree; all strings between them share these."""
+    a, b = F.hex(F.encode(low, "utf-8")), F.hex(F.encode(high, "utf-8"))
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)))
+    same = F.filter(places, lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
+    return F.coalesce(F.floor(F.size(same) / 2).cast("int"), F.lit(0))
+
+
 def with_position(
     df: DataFrame, order_by: list[str], keys: list[str] | None = None, pos: str = "pos", n: str | None = "n_rows"
 ) -> DataFrame:
@@ -192,8 +206,16 @@ def with_position(
     """
     keys = keys or []
     k = range_count(df)
-    named = df.withColumn("_o1", sort_number(df, order_by[0]))
-    named = named.withColumn("_o2", sort_number(df, order_by[1]) if len(order_by) > 1 else F.lit(0.0))
+    first = order_by[0]
+    if isinstance(df.schema[first].dataType, T.StringType):
+        # names like "Customer#0001" differ late: cut on the bytes after what the smallest and largest share, then on the next ones
+        ends = df.agg(common_bytes(F.min(first), F.max(first)).alias("_skip"))
+        named = df.crossJoin(F.broadcast(ends))
+        o1, o2 = string_number(F.col(f"`{first}`"), F.col("_skip")), string_number(F.col(f"`{first}`"), F.col("_skip") + 6)
+        named = named.withColumns({"_o1": o1, "_o2": o2}).drop("_skip")
+    else:
+        named = df.withColumn("_o1", sort_number(df, first))
+        named = named.withColumn("_o2", sort_number(df, order_by[1]) if len(order_by) > 1 else F.lit(0.0))
     bounds = named.agg(cuts(F.col("_o1"), k).alias("_c1"), cuts(F.col("_o2"), k).alias("_c2"))
     cut = named.crossJoin(F.broadcast(bounds))
     cut = cut.withColumn("_r1", range_of(F.col("_o1"), F.col("_c1"), k))

@@ -68,11 +68,11 @@ def encode_label(df: DataFrame, columns: list[str], suffix: str = "_code") -> Da
     return out
 
 
-def encode_onehot(df: DataFrame, column: str, max_values: int = 10, null_indicator: bool = False, drop_first: bool = False) -> DataFrame:
-    """0/1 columns when the column has at most ``max_values`` values, unchanged otherwise."""
-    kinds = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_values + 1).collect()]
-    if len(kinds) > max_values:
-        return df
+def encode_onehot(df: DataFrame, column: str, max_columns: int = 2000, null_indicator: bool = False, drop_first: bool = False) -> DataFrame:
+    """A 0/1 column per value. More values than a table can have as columns are an error: :func:`encode_onehot_long` takes any number."""
+    kinds = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_columns + 1).collect()]
+    if len(kinds) > max_columns:
+        raise ValueError(f"{column} has more than {max_columns} values; use encode_onehot_long")
     kinds = sorted(kinds)[1 if drop_first else 0 :]
     flags = {f"{column}_{k}": F.coalesce((F.col(column) == k).cast("int"), F.lit(0)) for k in kinds}
     if null_indicator:
@@ -80,18 +80,23 @@ def encode_onehot(df: DataFrame, column: str, max_values: int = 10, null_indicat
     return df.withColumns(flags).drop(column)
 
 
-def polynomial(df: DataFrame, columns: list[str], limit: int = 100) -> DataFrame:
-    """Degree-2 products of the first five columns, at most ``limit`` outputs."""
+def encode_onehot_long(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """One-hot vectors as long rows ``(keys..., index, value, flag)``: the places of a row that are 1, whatever the number of values."""
+    codes = label_codes(df, column).withColumnRenamed("code", "index")
+    value = F.coalesce(F.col(column).cast("string"), F.lit("missing")).alias("value")
+    return df.select(*keys, value).join(codes, "value").select(*keys, "index", "value", F.lit(1).alias("flag"))
+
+
+def polynomial(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Degree-2 products of the columns."""
     made = {}
-    for a, b in combinations_with_replacement(columns[:5], 2):
-        if len(made) < limit:
-            name = f"{a}^2" if a == b else f"{a} {b}"
-            made[name.replace(" ", "_x_").replace("^2", "_sq")] = C.number(df, a) * C.number(df, b)
+    for a, b in combinations_with_replacement(columns, 2):
+        made[f"{a}_sq" if a == b else f"{a}_x_{b}"] = C.number(df, a) * C.number(df, b)
     return df.withColumns(made)
 
 
 def interactions(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({f"{a}_x_{b}": C.number(df, a) * C.number(df, b) for a, b in combinations(columns[:5], 2)})
+    return df.withColumns({f"{a}_x_{b}": C.number(df, a) * C.number(df, b) for a, b in combinations(columns, 2)})
 
 
 def score_f_classif(df: DataFrame, columns: list[str], target: str) -> DataFrame:

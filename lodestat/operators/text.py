@@ -266,8 +266,10 @@ def keywords(df: DataFrame, key: list[str], text: str, top: int = 20, method: st
     return rows.groupBy(*by, "term").agg((F.sum(F.col("w") / F.col("norm")) / F.max("n")).alias("score"), F.max("df").alias("df"))
 
 
-def keywords_by_class(df: DataFrame, key: list[str], text: str, label: str, top: int = 10, labels: int = 5) -> DataFrame:
-    """Keywords of the most frequent labels."""
+def keywords_by_class(df: DataFrame, key: list[str], text: str, label: str, top: int = 10, labels: int | None = None) -> DataFrame:
+    """Keywords of every label, or of the ``labels`` most frequent ones."""
+    if labels is None:
+        return keywords(df, key, text, top, "tfidf", label)
     kinds = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), label).limit(labels).select(label)
     return keywords(df.join(F.broadcast(kinds), label), key, text, top, "tfidf", label)
 
@@ -291,16 +293,12 @@ def lexicon_frame(spark, lexicon: dict[str, float] | None = None) -> DataFrame:
     return spark.createDataFrame(list((lexicon or SENTIMENT).items()), "word string, score double")
 
 
-MAX_LEXICON = 1_000_000
-
-
 def sentiment(df: DataFrame, key: list[str], text: str, lexicon: DataFrame | None = None, limit: float = 0.05) -> DataFrame:
     """Compound score s / sqrt(s^2 + 15) of the lexicon words per text; no hit is neutral."""
     lexicon = lexicon if lexicon is not None else lexicon_frame(df.sparkSession)
-    small = lexicon.limit(MAX_LEXICON + 1).count() <= MAX_LEXICON
     found = words(F.regexp_replace(F.lower(F.col(text)), PUNCTUATION, " "))
     tokens = C.spread(df.select(*key, text)).select(*key, F.explode(found).alias("word"))
-    hits = tokens.join(F.broadcast(lexicon) if small else lexicon, "word")
+    hits = tokens.join(lexicon, "word")
     sums = hits.groupBy(*key).agg(F.sum("score").alias("_s"), F.count(F.lit(1)).alias("hits"))
     out = df.select(*key).join(sums, key, "left")
     s = F.coalesce("_s", F.lit(0.0))

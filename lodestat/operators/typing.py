@@ -202,10 +202,10 @@ def downcast_types(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_names(names: list[str]) -> list[str]:
+def clean_names(names: list[str], max_length: int | None = None) -> list[str]:
     out: list[str] = []
     for name in names:
-        base = re.sub(r"\s+", "_", re.sub(r"[^\w\s]", "", name, flags=re.UNICODE).strip())[:100] or "column"
+        base = re.sub(r"\s+", "_", re.sub(r"[^\w\s]", "", name, flags=re.UNICODE).strip())[:max_length] or "column"
         new, k = base, 0
         while new in out:
             k += 1
@@ -214,8 +214,8 @@ def clean_names(names: list[str]) -> list[str]:
     return out
 
 
-def sanitize_columns(df: DataFrame, max_length: int = 100_000, drop_empty: bool = True) -> DataFrame:
-    """Clean names, all-null columns out, long strings cut, infinities to null."""
+def sanitize_columns(df: DataFrame, max_length: int | None = None, drop_empty: bool = True) -> DataFrame:
+    """Clean names, all-null columns out, infinities to null; strings are cut only where ``max_length`` says so."""
     keep = df.columns
     if drop_empty:
         filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
@@ -223,7 +223,7 @@ def sanitize_columns(df: DataFrame, max_length: int = 100_000, drop_empty: bool
 
     def clean(c):
         kind, x = df.schema[c].dataType, F.col(f"`{c}`")
-        if isinstance(kind, T.StringType):
+        if isinstance(kind, T.StringType) and max_length is not None:
             return F.substring(x, 1, max_length)
         if isinstance(kind, (T.FloatType, T.DoubleType)):
             return F.when(F.abs(x) != float("inf"), x)

@@ -41,6 +41,25 @@ def _(t):
     return A.read_json(t.spark, saved(t, "json"), lines=True, schema=t.customer.select(*PICK).schema)
 
 
+@query("read_json_array", "SELECT c_custkey AS k, c_name AS name FROM customer")
+def _(t):
+    # one object per file with the records below a dotted path
+    path = scratch_folder(t.spark)
+    records = t.customer.groupBy(F.col("c_custkey") % 16).agg(F.collect_list(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))).alias("rows"))
+    records.select(F.struct("rows").alias("data")).repartition(16).write.option("maxRecordsPerFile", 1).json(path)
+    return A.read_json(t.spark, path, array_path="data.rows", schema="data struct<rows: array<struct<k: long, name: string>>>")
+
+
+@query("read_csv_options", "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name || ' é' AS c_name FROM customer WHERE c_custkey > 0")
+def _(t):
+    # Latin-1 bytes, one line of notes before the header of the single file
+    path = scratch_folder(t.spark)
+    rows = t.customer.select(F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat("c_name", F.lit(" é"))).alias("value"), F.col("c_custkey").alias("k"))
+    head = t.spark.createDataFrame([("notes", -2), ("c_custkey;c_name", -1)], "value string, k long")
+    rows.union(head).coalesce(1).sortWithinPartitions("k").select("value").write.option("encoding", "ISO-8859-1").csv(path, sep="\x01", quote="")
+    return A.read_csv(t.spark, path, encoding=None, skip_rows=1, dtypes={"c_custkey": "int"}).where("c_custkey > 0")
+
+
 @query("json_flatten", 'SELECT event_id, CAST(json_extract(props, \'$.k\') AS INTEGER) AS "payload.k", event_type AS "payload.type.name" FROM events')
 def _(t):
     props = F.from_json("props", "k int")
@@ -70,14 +89,7 @@ def _(t):
     files = t.customer.select("c_custkey", "c_name").mapInArrow(arrow_file, "content binary")
     files.write.parquet(path)
 
-    def load(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column("content"):
-                yield from pa.ipc.open_file(pa.BufferReader(content.as_buffer())).read_all().to_batches()
-
-    return t.spark.read.parquet(path).mapInArrow(load, "c_custkey long, c_name string")
+    return A.arrow_rows(t.spark.read.parquet(path), "c_custkey long, c_name string")
 
 
 LINES = "(SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, string_split(text, chr(10)) AS p FROM documents)"
@@ -102,10 +114,18 @@ def _(t):
     return A.read_by_extension(t.spark, f"{t.folder}/nation.parquet")
 
 
-@query("read_many_files", "SELECT r_regionkey AS k, r_name AS name, 'region.parquet' AS source_file FROM region UNION ALL SELECT r_regionkey, r_name, 'region.parquet' FROM region WHERE FALSE")
+@query(
+    "read_many_files",
+    "SELECT c_custkey % 2 AS part, count(*) AS n, sum(c_custkey) AS total, CAST(1 AS BIGINT) AS files, CAST(2 AS BIGINT) AS failures FROM customer GROUP BY 1",
+)
 def _(t):
-    df = A.read_many_files(t.spark, [f"{t.folder}/region.parquet"])
-    return df.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"), "source_file")
+    # two good folders, one of text that isn't Parquet, one that isn't there
+    paths = [saved(t, "parquet", table=t.customer.where(F.col("c_custkey") % 2 == k).select("c_custkey").coalesce(1)) for k in (0, 1)]
+    broken = scratch_folder(t.spark)
+    t.customer.select("c_name").write.text(broken)
+    df, failures = A.read_many_files(t.spark, [*paths, broken, scratch_folder(t.spark)])
+    out = df.groupBy((F.col("c_custkey") % 2).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("total"), F.countDistinct("source_file").alias("files"))
+    return out.crossJoin(failures.agg(F.count(F.lit(1)).alias("failures")))
 
 
 @query("read_jdbc")

@@ -67,7 +67,24 @@ def _(t):
     return G.encode_onehot(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", null_indicator=True)
 
 
-POLY = {(f"{a}_sq" if a == b else f"{a}_x_{b}"): f"{a} * {b}" for a, b in combinations_with_replacement(NUM, 2)}
+@query(
+    "encode_onehot_many",
+    "SELECT c_custkey, " + ", ".join(f'CAST(c_nationkey = {i} AS INTEGER) AS "c_nationkey_{i}"' for i in range(25)) + " FROM customer",
+)
+def _(t):
+    return G.encode_onehot(t.customer.select("c_custkey", "c_nationkey"), "c_nationkey")
+
+
+@query(
+    "encode_onehot_long",
+    "SELECT o_orderkey, dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS \"index\", CAST(o_custkey AS VARCHAR) AS value, CAST(1 AS INTEGER) AS flag FROM orders",
+)
+def _(t):
+    return G.encode_onehot_long(t.orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], "o_custkey")
+
+
+SIX = [*NUM, "l_partkey", "l_suppkey"]
+POLY = {(f"{a}_sq" if a == b else f"{a}_x_{b}"): f"CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE)" for a, b in combinations_with_replacement(SIX, 2)}
 
 
 @query(
@@ -75,15 +92,15 @@ POLY = {(f"{a}_sq" if a == b else f"{a}_x_{b}"): f"{a} * {b}" for a, b in combin
     f"SELECT l_orderkey, l_linenumber, {', '.join(f'{e} AS {n}' for n, e in POLY.items())} FROM lineitem",
 )
 def _(t):
-    return G.polynomial(li(t), NUM).drop(*NUM)
+    return G.polynomial(t.lineitem.select(*KEY, *SIX), SIX).drop(*SIX)
 
 
-INTER = {f"{a}_x_{b}": f"{a} * {b}" for a, b in combinations(NUM, 2)}
+INTER = {f"{a}_x_{b}": f"CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE)" for a, b in combinations(SIX, 2)}
 
 
 @query("interactions", f"SELECT l_orderkey, l_linenumber, {', '.join(f'{e} AS {n}' for n, e in INTER.items())} FROM lineitem")
 def _(t):
-    return G.interactions(li(t), NUM).drop(*NUM)
+    return G.interactions(t.lineitem.select(*KEY, *SIX), SIX).drop(*SIX)
 
 
 RANKED = "SELECT column_name, score, d1, d2, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, column_name) AS INTEGER) AS rank, row_number() OVER (ORDER BY score DESC NULLS LAST, column_name) <= 2 AS selected FROM s"

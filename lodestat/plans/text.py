@@ -194,7 +194,7 @@ def _(t):
 
 @query(
     "keywords_by_class",
-    f"""WITH k AS (SELECT lang FROM documents GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT 5),
+    f"""WITH k AS (SELECT DISTINCT lang FROM documents),
         c AS (SELECT * FROM {tf_sql('documents', 'doc_id', 'lang, ')} x WHERE lang IN (SELECT lang FROM k)), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1),
         s AS (SELECT lang, term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1, 2),
         v AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY total DESC, term) AS k FROM s QUALIFY k <= 10),
@@ -269,7 +269,7 @@ def _(t):
 
 
 VEC = f"""c AS (SELECT * FROM {tf_sql('documents', 'doc_id')} x), n AS (SELECT count(*) AS n FROM documents),
-  v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1 HAVING count(*) <= 0.95 * (SELECT n FROM n) ORDER BY total DESC, term LIMIT 10000),
+  v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1 HAVING count(*) <= 0.95 * (SELECT n FROM n)),
   w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN v USING (term), n),
   vec AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w)"""
 
@@ -414,4 +414,4 @@ def _(t):
 @query("text_classifier")
 def _(t):
     data = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality")
-    return S.text_classifier(data, ["doc_id"], "text", "quality", ["logistic", "naive_bayes_multinomial", "linear_svm", "random_forest"], vocab=1000, folds=2)
+    return S.text_classifier(data, ["doc_id"], "text", "quality", ["logistic", "naive_bayes_multinomial", "linear_svm", "random_forest"], vocab=5000)

@@ -25,16 +25,24 @@ def local_session(cores: str = "8", app: str = "lodestat") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors see; without one only a local session may go on."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lodestat-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestat-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder name below the shared folder of the cluster, or a local one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestat-")
-    return f"{base.rstrip('/')}/lodestat-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared folder."""
+    return f"{shared_folder(spark)}/lodestat-{uuid.uuid4().hex}"
