@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestat.operators import supervised as J
@@ -13,19 +11,20 @@ from lodestat.streaming import streams as M
 
 
 def events_stream(t):
-    """The one events file as a file source."""
-    return M.file_stream(t.spark, t.folder, t.events.schema, pattern="events.parquet")
+    """The table as a file source, a file or a folder of part files, one micro-batch per file."""
+    return M.file_stream(t.spark, f"{t.folder}/events.parquet*", t.events.schema)  # a pattern, as the source takes no single file
 
 
-def events_in_parts(t, parts=3):
-    """Events cut by time into several files, so that there are several micro-batches."""
+def events_in_parts(t, parts=6):
+    """Events in time order in about ``parts`` files, so that there are several micro-batches."""
     path = scratch_folder(t.spark)
-    t.events.repartitionByRange(parts, "ts").write.parquet(path)
+    rows = t.events.count() // parts + 1
+    t.events.repartitionByRange("ts").sortWithinPartitions("ts").write.option("maxRecordsPerFile", rows).parquet(path)
     return M.file_stream(t.spark, path, t.events.schema)
 
 
 def table(t, stream, mode):
-    return M.run_to_table(stream, f"sink_{uuid.uuid4().hex}", mode, scratch_folder(t.spark))
+    return M.run_to_table(stream, scratch_folder(t.spark), mode, scratch_folder(t.spark))
 
 
 @query(
@@ -44,7 +43,7 @@ def _(t):
     approx=("q25", "median", "q75"),
 )
 def _(t):
-    return table(t, M.last_n_stats(events_stream(t), "event_type", "value", "ts", 50), "update")
+    return M.last_n_stats(events_in_parts(t), "event_type", "value", "ts", 50, scratch_folder(t.spark), scratch_folder(t.spark))
 
 
 @query("stream_drift")
@@ -55,7 +54,7 @@ def _(t):
 @query("stream_learn")
 def _(t):
     learner = M.OnlineLinear(["value", "user_id"], "hit")
-    stream = events_in_parts(t, 8).withColumn("hit", (F.col("value") > 50).cast("int"))
+    stream = events_in_parts(t, 25).withColumn("hit", (F.col("value") > 50).cast("int"))
     M.fold_batches(stream, learner.partial_fit, scratch_folder(t.spark))
     rows = [(i, s, learner.trend()) for i, s in enumerate(learner.scores)]
     return t.spark.createDataFrame(rows, "batch int, score double, trend string")
@@ -83,15 +82,32 @@ for _period, _trunc in (("1h", "hour"), ("24h", "day")):
     @query(
         f"monitor_metrics_{_period}",
         f"""SELECT strftime(date_trunc('{_trunc}', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS predictions, avg(CASE WHEN is_error THEN 1.0 ELSE 0 END) AS error_rate, avg(latency) AS latency_mean,
-            max(latency) AS latency_max, count(*) / {_hours} AS per_hour, count(*) / {_hours * 60} AS per_minute FROM {LOG} x GROUP BY 1""",
-        approx=("error_rate", "latency_mean", "per_hour", "per_minute"),
+            max(latency) AS latency_max, median(latency) AS latency_median, quantile_cont(latency, 0.95) AS latency_p95, quantile_cont(latency, 0.99) AS latency_p99, count(*) / {_hours} AS per_hour, count(*) / {_hours * 60} AS per_minute FROM {LOG} x GROUP BY 1""",
+        approx=("error_rate", "latency_mean", "latency_median", "latency_p95", "latency_p99", "per_hour", "per_minute"),
     )
     def _(t, period=_period):
         out = M.monitor_metrics(log(t.events), "ts", "is_error", "latency", period)
-        return out.drop("latency_median", "latency_p95", "latency_p99").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+        return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+@query(
+    "monitor_metrics_7d",
+    f"""SELECT strftime(make_timestamp(CAST(floor(epoch_us(ts) / 604800000000.0) AS BIGINT) * 604800000000), '%Y-%m-%d') AS start, count(*) AS predictions,
+        avg(CASE WHEN is_error THEN 1.0 ELSE 0 END) AS error_rate, median(latency) AS latency_median, count(*) / 168.0 AS per_hour FROM {LOG} x GROUP BY 1""",
+    approx=("error_rate", "latency_median", "per_hour"),
+)
+def _(t):
+    out = M.monitor_metrics(log(t.events), "ts", "is_error", "latency", "7d")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "predictions", "error_rate", "latency_median", "per_hour")
 
 
-@query("monitor_metrics_all")
+@query(
+    "monitor_metrics_all",
+    f"""SELECT 'all' AS start, count(*) AS predictions, avg(CASE WHEN is_error THEN 1.0 ELSE 0 END) AS error_rate, avg(latency) AS latency_mean, max(latency) AS latency_max,
+        median(latency) AS latency_median, quantile_cont(latency, 0.95) AS latency_p95, quantile_cont(latency, 0.99) AS latency_p99,
+        count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9) AS per_hour, count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 * 60) AS per_minute FROM {LOG} x""",
+    approx=("error_rate", "latency_mean", "latency_median", "latency_p95", "latency_p99", "per_hour", "per_minute"),
+)
 def _(t):
     return M.monitor_metrics(log(t.events), "ts", "is_error", "latency", "all")
 

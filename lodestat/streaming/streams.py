@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lodestat.functions import columns as C
@@ -20,23 +21,33 @@ def running_stats(stream: DataFrame, key: str, value: str) -> DataFrame:
     return stream.groupBy(key).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.stddev_pop(x).alias("std"))
 
 
-def last_n_stats(stream: DataFrame, key: str, value: str, time: str, n: int) -> DataFrame:
-    """Min, max, median and quartiles of the last ``n`` values per key; state is at most n values."""
+def latest(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The last ``n`` rows ``(key, t, v)`` per group."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("v"))
+    return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
 
-    def update(keys, batches, state):
-        kept = list(state.get[0]) if state.exists else []
-        kept_t = list(state.get[1]) if state.exists else []
-        for pdf in batches:
-            both = sorted(zip([*kept_t, *pdf["t"].tolist()], [*kept, *pdf["v"].tolist()]))[-n:]
-            kept_t, kept = [t for t, _ in both], [v for _, v in both]
-        state.update((kept, kept_t))
-        q = np.percentile(kept, [0, 25, 50, 75, 100])
-        yield pd.DataFrame({"key": [keys[0]], "n": [len(kept)], "min": q[0], "q25": q[1], "median": q[2], "q75": q[3], "max": q[4]})
 
+def last_n_stats(stream: DataFrame, key: str, value: str, time: str, n: int, folder: str, checkpoint: str, salts: int = 64) -> DataFrame:
+    """Min, max, median and quartiles of the last ``n`` values per key, once everything available is read.
+
+    The state after each micro-batch is a table of at most n rows per key in ``folder``; the next batch is merged into it. A batch is
+    first trimmed to n rows per key and salt, so no task holds all rows of a frequent key. Replayed batches write the same state again.
+    """
     rows = stream.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("key").applyInPandasWithState(
-        update, "key string, n long, min double, q25 double, median double, q75 double, max double", "v array<double>, t array<long>", "update", GroupStateTimeout.NoTimeout
-    )
+    states: list[str] = []
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        near = latest(batch.withColumn("_s", F.pmod(F.xxhash64("t", "v"), F.lit(salts))), ["key", "_s"], n).drop("_s")
+        if batch_id:
+            near = near.unionByName(batch.sparkSession.read.parquet(f"{folder}/state-{batch_id - 1}"))
+        latest(near, ["key"], n).write.mode("overwrite").parquet(f"{folder}/state-{batch_id}")
+        states.append(f"{folder}/state-{batch_id}")
+
+    fold_batches(rows, fold, checkpoint)
+    state = stream.sparkSession.read.schema("key string, t long, v double").parquet(states[-1]) if states else stream.sparkSession.createDataFrame([], "key string, t long, v double")
+    q = F.percentile("v", [0.25, 0.5, 0.75])
+    out = state.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max"))
+    return out.select("key", "n", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "max")
 
 
 def ks_gap(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
@@ -126,7 +137,10 @@ class OnlineLinear:
 
 
 def monitor_metrics(df: DataFrame, time: str, error: str, latency: str, period: str = "1h", late: str | None = None) -> DataFrame:
-    """Predictions, error rate, latency statistics and throughput per window; ``late`` adds a watermark."""
+    """Predictions, error rate, latency statistics and throughput per window; ``late`` adds a watermark.
+
+    Latency percentiles are exact in batch mode and sketches of 10,000 marks on a stream.
+    """
     if period == "all":
         grouped, hours = df.groupBy(F.lit("all").alias("start")), None
     else:
@@ -135,7 +149,8 @@ def monitor_metrics(df: DataFrame, time: str, error: str, latency: str, period:
         grouped = rows.groupBy(F.window(time, PERIODS[period]).alias("_w"))
         hours = {"1h": 1.0, "24h": 24.0, "7d": 168.0}[period]
     n = F.count(F.lit(1))
-    q = F.percentile_approx(latency, [0.5, 0.95, 0.99], 10_000)
+    probs = [0.5, 0.95, 0.99]
+    q = F.percentile_approx(latency, probs, 10_000) if df.isStreaming else F.percentile(latency, probs)
     out = grouped.agg(
         n.alias("predictions"),
         F.avg(F.col(error).cast("double")).alias("error_rate"),
@@ -166,11 +181,28 @@ def drift_report(reference: DataFrame, current: DataFrame, columns: list[str], a
     return H.ks_two_sample(a.unionByName(b), "g", "value", ["column_name"]).withColumn("drifted", F.col("p_value") < alpha)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process everything available and return the sink: an in-memory table for small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, folder: str, mode: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
+    """Process everything available and return the final result, kept in files below ``folder``.
+
+    ``append``: all rows. ``complete``: the rows of the last micro-batch. ``update``: the last row per ``keys``.
+    """
+    done: list[int] = []
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/batch-{batch_id}")  # a repeated batch replaces itself
+        done.append(batch_id)
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    names = done[-1:] if mode == "complete" else sorted(set(done))
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(*[f"{folder}/batch-{i}" for i in names])
+    if mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in stream.columns]), "_batch").alias("r")).select("r.*")
+    return rows.select(*[F.col(f"`{c}`") for c in stream.columns])
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
