@@ -4,7 +4,8 @@ A document's set of word shingles becomes ``REGISTERS`` exponentially spaced reg
 hash, truncated to a power of ``SPACING``. Sketches merge by their maximum and collide about as often as sets are alike. Bands of
 registers propose buckets; within a bucket every document is compared with a pivot, the member with most neighbours, instead of with
 each other; a joint likelihood of the registers rules out what can't be alike, and the rest is confirmed on the full sets. Documents
-of a bucket that are then still apart get further pivots, until few enough pairs are left to list them all: no link is given up.
+of a bucket that are then still apart are compared with each other where an exact bound on what they can share allows a link at all:
+no link is given up.
 Equal sets are one vertex from the start, so a text copied a million times is compared once.
 """
 
@@ -26,8 +27,6 @@ from lodestat.llm.shingles import shingle_sets
 REGISTERS, ROWS = 100, 4
 SPACING, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SEEDS, FACTORS = splitmix(REGISTERS, 17), splitmix(REGISTERS, 19) | np.uint64(1)
-#: Pairs listed at once for each member of unsettled buckets; above, another pivot is tried first.
-PAIRS_PER_MEMBER = 4
 #: Log likelihood ratio beyond which a pair can't be alike enough.
 SURE = 25.0
 
@@ -181,42 +180,53 @@ def _join_twins(labels: DataFrame, twins: DataFrame, known: DataFrame, classes:
     return components(links.union(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
 
 
+def shareable(texts: DataFrame) -> DataFrame:
+    """``id, most``: how many shingles of a text are in any other text of ``texts`` (``id, n, body``), as no partner can share more."""
+    kind = texts.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("s", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [x.view(np.int64) for x in shingle_sets(*text_bytes(batch.column(1)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+
+    rows = texts.select("id", "body").mapInArrow(run, schema).select("id", F.explode("s").alias("s"))
+    alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    return texts.select("id", "n").join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
 def _link(members: DataFrame, texts: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Components of the texts that share a cell: first against the pivots of the cells, then what is still apart among each other.
+
+    Of two texts still apart either may share only shingles that others have at all. Edits of one original are mostly their own, so
+    this bound leaves few of the pairs of a large group, inside the join and before any text is moved.
+    """
     spark = members.sparkSession
-    labels = None
-    links = tested = used = None
+    best = members.groupBy("cell").agg(F.max(F.struct("degree", "id", "n")).alias("p"))
+    best = materialise(best.select("cell", F.col("p.id").alias("a"), F.col("p.n").alias("m")))
     ratio = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    while True:
-        now = members if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        now = now.withColumn("label", F.col("id")) if labels is None else now
-        cells = now.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k"))
-        cells = cells.groupBy("cell").agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        open_cells = cells.where("parts > 1")
-        state = open_cells.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("members")).first()
-        if not state["pairs"]:
-            return labels if labels is not None else spark.createDataFrame([], f"id {kind}, label {kind}")
-        last = state["pairs"] <= PAIRS_PER_MEMBER * state["members"]
-        rows = materialise(now.join(open_cells.select("cell"), "cell"))
-        if last:
-            other = rows.select("cell", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = rows.join(other, "cell").where("label < other").where(ratio).select(F.col("id").alias("a"), "b")
-        else:
-            free = rows if used is None else rows.join(used, ["cell", "id"], "left_anti")
-            best = free.groupBy("cell").agg(F.max(F.struct("degree", "id", "n", "label")).alias("p"))
-            best = materialise(best.select("cell", F.col("p.id").alias("a"), F.col("p.n").alias("m"), F.col("p.label").alias("other")))
-            spent = best.select("cell", F.col("a").alias("id"))
-            used = spent if used is None else materialise(used.union(spent))
-            pairs = rows.join(best, "cell").where("label <> other").where(ratio).select("a", F.col("id").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        tested = pairs if tested is None or last else materialise(tested.union(pairs))
-        found = materialise(confirm(pairs, texts, percent))
-        links = found if links is None else links.union(found)
-        labels = components(links) if not links.isEmpty() else spark.createDataFrame([], f"id {kind}, label {kind}")
-        if last:
-            return labels
+    pairs = members.join(best, "cell").where("a <> id").where(ratio).select("a", F.col("id").alias("b")).distinct()
+    tested = materialise(pairs)
+    links = materialise(confirm(tested, texts, percent))
+    none = spark.createDataFrame([], f"id {kind}, label {kind}")
+    labels = components(links) if not links.isEmpty() else none
+    rows = members.select("cell", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    split = materialise(rows.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cell"))
+    rows = materialise(rows.join(split, "cell"))
+    most = materialise(shareable(texts.join(rows.select("id").distinct(), "id", "left_semi")))
+    rows = materialise(rows.join(most, "id"))
+    other = rows.select("cell", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("most").alias("most_b"))
+    common = F.least("most", "most_b")
+    possible = (F.col("label") < F.col("other")) & (100 * common >= percent * (F.col("n") + F.col("m") - common))
+    one = rows.withColumnRenamed("cell", "cell_a")
+    pairs = one.join(other, (F.col("cell_a") == F.col("cell")) & possible).select(F.col("id").alias("a"), "b").distinct()
+    done = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"))
+    more = materialise(confirm(pairs, texts, percent))
+    return labels if more.isEmpty() else components(links.union(more))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

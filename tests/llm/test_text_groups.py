@@ -90,9 +90,8 @@ def test_near_duplicates(edge_docs, no_docs, percent):
     assert neardup.near_duplicates(no_docs, percent).count() == 0
 
 
-def test_near_duplicates_of_a_star_need_its_middle(spark, monkeypatch):
-    """Edits of one original, too far from each other to be linked but through it; pivots must not lose a link."""
-    monkeypatch.setattr(neardup, "PAIRS_PER_MEMBER", 0)
+def test_near_duplicates_of_a_star_need_its_middle(spark):
+    """Edits of one original, too far from each other to be linked but through it, and a chain beside it; no link may be lost."""
     base = [f"w{i}" for i in range(400)]
     rows = []
     for i in range(24):
@@ -101,6 +100,7 @@ def test_near_duplicates_of_a_star_need_its_middle(spark, monkeypatch):
             for j in range(7):
                 edit[(i * 16 + j * 2 + 3) % 400] = f"e{i}x{j}"
         rows.append((i, " ".join(edit)))
+    rows += [(100 + i, " ".join(base[: 200 + 12 * i])) for i in range(12)]
     want = brute_components(rows, 90)
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 90).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {k: v[1] for k, v in want.items()}
