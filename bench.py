@@ -21,7 +21,8 @@ HEADLINES = [
     "kruskal_wallis", "scale_standard", "encode_label", "select_k_best_f_classif", "kmeans", "train_regressor_linear",
     "classification_metrics", "roc_auc", "regression_metrics", "rolling_band", "autocorrelation", "decompose", "periodogram",
     "forecast_linear", "clean_text", "text_features", "keywords", "sentiment", "tfidf_vectors", "near_duplicates", "entities",
-    "monitor_metrics_1h",
+    "monitor_metrics_1h", "train_classifier", "batch_predict", "topics_lda", "outliers_lof", "dbscan", "embedding_similarity",
+    "stationarity", "forecast_arima", "seasonality_strength", "stream_running_stats", "stream_last_n_stats",
 ]
 
 
