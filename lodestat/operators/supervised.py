@@ -497,7 +497,7 @@ def analyze_importance(rows: DataFrame) -> DataFrame:
 
 
 def importance_permutation(
-    df: DataFrame, columns: list[str], target: str, key: list[str], name: str = "random_forest", repeats: int = 3, seed: int = SEED
+    df: DataFrame, columns: list[str], target: str, key: list[str], name: str = "random_forest", repeats: int = 10, seed: int = SEED
 ) -> DataFrame:
     """Drop of r2 when one column is shuffled.
 
@@ -521,7 +521,7 @@ def importance_permutation(
     return out.groupBy("column_name").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
 
 
-def partial_dependence(df: DataFrame, columns: list[str], target: str, feature: str, points: int = 20, name: str = "random_forest") -> DataFrame:
+def partial_dependence(df: DataFrame, columns: list[str], target: str, feature: str, points: int = 100, name: str = "random_forest") -> DataFrame:
     """Mean prediction over an even grid of one feature."""
     model = fit_regressor(df, columns, target, name)
     b = df.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi")).first()

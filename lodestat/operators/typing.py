@@ -462,7 +462,8 @@ def sample_rows(
 ) -> DataFrame:
     """Random, systematic or stratified sample; seeded by key so results do not depend on partitions."""
     key = key or df.columns
-    order = F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in key])
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in key])
+    order = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
     if method == "random":
         if fraction is not None:
             return df.where(F.pmod(order, F.lit(1_000_000)) < int(fraction * 1_000_000))

@@ -128,12 +128,13 @@ def _(t):
     return out.crossJoin(failures.agg(F.count(F.lit(1)).alias("failures")))
 
 
-@query("read_jdbc")
+@query("read_jdbc", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(t):
     url = f"jdbc:derby:memory:lodestat{abs(hash(t.folder))};create=true"
     rows = t.customer.select("c_custkey", "c_name", "c_acctbal")
     rows.write.format("jdbc").options(url=url, dbtable="customer").mode("overwrite").save()
-    return A.read_jdbc(t.spark, url, table="customer", partition_column="c_custkey", lower=0, upper=2000, partitions=4)
+    last = rows.agg(F.max("c_custkey")).first()[0] or 0
+    return A.read_jdbc(t.spark, url, table="customer", partition_column="c_custkey", lower=0, upper=last + 1, partitions=4)
 
 
 @query("read_write_uri", CUSTOMER)

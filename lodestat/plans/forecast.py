@@ -10,7 +10,7 @@ from lodestat.plans.series import OD, ev, od
 
 @query("outliers_isolation_forest")
 def _(t):
-    return T.isolation_forest(t.events, "event_id", ["value", "user_id"], trees=50, contamination=0.05)
+    return T.isolation_forest(t.events, "event_id", ["value", "user_id"], contamination=0.05)
 
 
 @query("forecast_holt_winters")

@@ -241,7 +241,7 @@ def _(t):
 
 @query("choose_k")
 def _(t):
-    return I.choose_k(t.customer, C2, 6)
+    return I.choose_k(t.customer, C2)
 
 
 GROUPED = "(SELECT c_acctbal, c_nationkey, CAST(c_custkey % 4 AS INTEGER) - 1 AS cluster FROM customer)"
@@ -595,12 +595,12 @@ def _(t):
 
 @query("importance_permutation")
 def _(t):
-    return J.importance_permutation(mixed(t), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", KEY, "linear", repeats=2)
+    return J.importance_permutation(mixed(t), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", KEY, "linear")
 
 
 @query("partial_dependence")
 def _(t):
-    return J.partial_dependence(mixed(t), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "l_quantity", 10)
+    return J.partial_dependence(mixed(t), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "l_quantity")
 
 
 SHAP = """(SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) AS column_name,

@@ -334,7 +334,7 @@ def _(t):
 
 @query("topics_lda")
 def _(t):
-    return S.topics_lda(t.documents, "doc_id", "text", 4, iterations=5)[0]
+    return S.topics_lda(t.documents, "doc_id", "text", 4)[0]
 
 
 @query("topics_nmf")
@@ -344,7 +344,7 @@ def _(t):
 
 @query("document_topics")
 def _(t):
-    return S.document_topics(S.topics_lda(t.documents, "doc_id", "text", 4, iterations=5)[1], "doc_id")
+    return S.document_topics(S.topics_lda(t.documents, "doc_id", "text", 4)[1], "doc_id")
 
 
 TOPICS = {0: ["the", "and", "that", "with"], 1: ["der", "und", "von", "die"], 2: ["les", "des", "que", "heed"]}
@@ -414,4 +414,4 @@ def _(t):
 @query("text_classifier")
 def _(t):
     data = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality")
-    return S.text_classifier(data, ["doc_id"], "text", "quality", ["logistic", "naive_bayes_multinomial", "linear_svm", "random_forest"], vocab=5000)
+    return S.text_classifier(data, ["doc_id"], "text", "quality", ["logistic", "naive_bayes_multinomial", "linear_svm", "random_forest"], vocab=5000, folds=3)

@@ -323,12 +323,19 @@ def _(t):
     return Y.load_summary(t.lineitem_nulls)
 
 
-@query("sample_rows_random")
+DRAW = "('0x' || md5('42|' || o_orderkey)[:13])::BIGINT"
+
+
+@query("sample_rows_random", f"SELECT * FROM orders ORDER BY {DRAW}, o_orderkey LIMIT 500")
 def _(t):
     return Y.sample_rows(t.orders, "random", size=500, key=["o_orderkey"])
 
 
-@query("sample_rows_stratified")
+@query(
+    "sample_rows_stratified",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {DRAW}, o_orderkey) AS k FROM orders)
+        SELECT * EXCLUDE (k) FROM r WHERE k <= greatest(1, 300 // (SELECT count(DISTINCT o_orderstatus) FROM orders))""",
+)
 def _(t):
     return Y.sample_rows(t.orders, "stratified", size=300, key=["o_orderkey"], strata="o_orderstatus")
 
