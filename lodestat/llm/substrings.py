@@ -223,20 +223,21 @@ def split_groups(rows: DataFrame, group: list[str]) -> tuple[DataFrame, DataFram
     kinds = materialise(kinds)
     settled = rows.join(kinds.where("n > 1").select(*group, "whole"), [*group, "whole"], "left_semi")
     settled = settled.select("id", "h", (F.col("anchor") + F.col("lo")).alias("a"), (F.col("anchor") + F.col("hi") + LENGTH).alias("b"))
-    several = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*group)
+    several = materialise(kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*group))
     return settled, kinds.join(several, group, "left_semi").select(*group, "one.*")
 
 
 def repeated_intervals(source: DataFrame) -> DataFrame:
     """``id, h, a, b``: byte ranges covered by repeated strings of ``LENGTH`` bytes, unmerged."""
     marks = mark_intervals(source)
-    many = marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # written first, so that the join reads both sides by exchanges of its own, whose hot keys Spark can split
+    many = materialise(marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     rows = materialise(marks.join(many, "gram", "left_semi"))
     settled, open_ = split_groups(rows, ["gram"])
     around = materialise(contexts(source, open_))
     cells = cell_keys(around)
     group = ["gram", "cell", "inner"]
-    again = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*group)
+    again = materialise(cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*group))
     cells = materialise(cells.join(again, group, "left_semi"))
     cell_settled, cell_open = split_groups(cells, group)
     places = materialise(position_keys(around, cell_open))
