@@ -287,5 +287,5 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             yield flush()
 
     shards = rows.select("id", "ids").mapInArrow(route, routed)
-    shards = shards.repartition("route", F.pmod("tie", F.lit(SALTS))).sortWithinPartitions("route", "tie", "id")
+    shards = shards.repartition("route", F.pmod(F.xxhash64("tie", "id"), F.lit(SALTS))).sortWithinPartitions("route", "tie", "id")
     return shards.select("id", "ids").mapInArrow(fill, out_schema)
