@@ -228,6 +228,7 @@ GRIDS = {
     "random_forest": {"numTrees": [10, 20], "maxDepth": [3, 5]},
     "ridge": {"regParam": [0.1, 1.0, 10.0]},
     "lasso": {"regParam": [0.01, 0.1, 1.0]},
+    "gradient_boosting": {"maxIter": [10, 20], "maxDepth": [3, 5], "stepSize": [0.05, 0.1]},
 }
 
 
@@ -236,6 +237,8 @@ def tune(
     method: str = "grid", iterations: int = 4, folds: int = 3, grid: dict | None = None, seed: int = SEED,
 ) -> DataFrame:
     """``(setting, <parameters as text>, mean_score, is_best)`` over the grid, or a random part of it."""
+    if grid is None and name not in GRIDS:
+        raise ValueError(f"no default grid for {name}; pass grid, or use one of {sorted(GRIDS)}")
     grid = grid or GRIDS[name]
     if task == "classification":
         classes = _classes(df, target)

@@ -286,6 +286,13 @@ def text_dataset_stats(df: DataFrame, text: str) -> DataFrame:
     )
 
 
+def label_shares(df: DataFrame, label: str) -> DataFrame:
+    """``(label, n, share)`` of a labelled text table; a missing label is one of its own."""
+    counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("label", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
 # ---- sentiment ---------------------------------------------------------------
 
 
@@ -371,10 +378,12 @@ def entities_dictionary(df: DataFrame, key: list[str], text: str, dictionary: Da
 
 
 def filter_entities(found: DataFrame, labels: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
+    """Entities of the given labels and at least the given confidence; found by rule they have 1.0 where there is no such column."""
     out = found.where(F.col("label").isin(labels)) if labels else found
-    if min_confidence is not None and "confidence" in found.columns:
-        out = out.where(F.col("confidence") >= min_confidence)
-    return out
+    if min_confidence is None:
+        return out
+    confidence = F.col("confidence") if "confidence" in found.columns else F.lit(1.0)
+    return out.where(confidence >= min_confidence)
 
 
 def entity_frequencies(found: DataFrame, by: str = "label") -> DataFrame:

@@ -150,9 +150,20 @@ def _(t):
     return A.list_objects(t.spark, saved(t, "parquet"), "*.parquet")
 
 
-@query("validate_csv", """SELECT 'blank header' AS "check", CAST(0 AS BIGINT) AS value, TRUE AS ok UNION ALL SELECT 'duplicate header', 0, TRUE UNION ALL SELECT 'row width', count(*) - count(*), TRUE FROM customer""")
+@query(
+    "validate_csv",
+    """SELECT 'blank header' AS "check", CAST(1 AS BIGINT) AS value, FALSE AS ok UNION ALL SELECT 'duplicate header', 1, FALSE
+       UNION ALL SELECT 'row width', count(*) FILTER (c_custkey % 7 = 0), count(*) FILTER (c_custkey % 7 = 0) = 0 FROM customer""",
+)
 def _(t):
-    return A.validate_csv(t.spark, saved(t, "csv"))
+    # header with a blank and a repeated name; every seventh row has a column too many, every fifth repeats the header
+    path = scratch_folder(t.spark)
+    head = "key,,name,name"
+    k = F.col("c_custkey")
+    row = F.when(k % 7 == 0, F.concat_ws(",", k, F.lit("x"), "c_name", F.lit('"a,b"'), F.lit("more"))).when(k % 5 == 0, F.lit(head))
+    rows = t.customer.select(row.otherwise(F.concat_ws(",", k, F.lit("x"), "c_name", F.lit('"a,b"'))).alias("value"), k.alias("k"))
+    rows.union(t.spark.createDataFrame([(head, -1)], "value string, k long")).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return A.validate_csv(t.spark, path)
 
 
 @query(

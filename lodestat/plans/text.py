@@ -217,6 +217,11 @@ def _(t):
     return L.text_dataset_stats(t.documents, "text")
 
 
+@query("label_shares", "SELECT lang AS label, count(*) AS n, count(*) / (SELECT count(*) FROM documents) AS share FROM documents GROUP BY 1", approx=("share",))
+def _(t):
+    return L.label_shares(t.documents, "lang")
+
+
 # scores for frequent words of the test texts, so that the lexicon finds something
 SCORES = {"the": 0.4, "of": -0.3, "and": 0.2, "heed": 1.5, "ing": -1.1, "tion": 0.9, "la": 0.3, "der": -0.2, "que": 0.5, "with": -0.4, "les": -0.6}
 LEX = "(SELECT * FROM (VALUES " + ", ".join(f"('{w}', {s})" for w, s in SCORES.items()) + ") v(word, s))"

@@ -257,12 +257,16 @@ def validate_csv(spark: SparkSession, path: str, sep: str = ",", limit: int | No
     All rows are checked unless ``limit`` asks for the leading ones only.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
-    head = lines.limit(1).first()
+    # the header is the first line of each file by position: a later line with the same text is a row
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    first = lines.groupBy("file").agg(F.min_by("id", F.struct("start", "id")).alias("first_id"), F.min_by("value", F.struct("start", "id")).alias("header"))
+    head = first.orderBy("file").select("header").first()
     names = [h.strip().strip('"') for h in (head[0].split(sep) if head else [])]
     blank, again = sum(1 for h in names if not h), len(names) - len(set(names))
     # a separator inside quotes is no column break
     bare = F.regexp_replace("value", '"[^"]*"', "")
-    body = (lines.limit(limit + 1) if limit else lines).where(F.col("value") != F.lit(head[0] if head else ""))
+    body = lines.join(first, "file").where(F.col("id") != F.col("first_id"))
+    body = body.limit(limit) if limit else body
     width = F.size(F.split(bare, f"[{sep}]", -1))
     rows = body.agg(F.count_if(width != len(names)).alias("bad")).select(F.lit("row width").alias("check"), F.col("bad").alias("value"), (F.col("bad") == 0).alias("ok"))
     fixed = spark.createDataFrame([("blank header", blank, blank == 0), ("duplicate header", again, again == 0)], "check string, value long, ok boolean")
