@@ -141,8 +141,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
 
     Texts are linked when the distinct five-word shingles (lower-cased A-Z, words parted by ASCII white space) satisfy 100 * common >=
     percent * union; shorter texts are one shingle; missing texts and texts without words are linked with nothing. ``component_id``
-    is the smallest key reachable over links, ``kept`` whether it is the row's own. Rows that share a key count as linked. Rows with
-    a missing key are linked with nothing and kept. Other columns are ignored; an empty table gives no rows.
+    is the smallest key reachable over links, ``kept`` whether it is the row's own. Rows that share a key count as linked; if their
+    texts differ, one of them stands for the key. Rows with a missing key are linked with nothing and kept. Other columns are ignored;
+    an empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
     drawn = materialise(sketch(docs, key, text))
@@ -158,9 +159,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
         degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
         members = materialise(members.join(degree, "id").select("cell", "id", "n", "degree"))
         wanted = members.select("id").distinct()
-        own = classes.select(F.col("rep").alias("id"), "n", "sketch").dropDuplicates(["id"])
+        own = classes.select(F.col("rep").alias("id"), "n", "sketch", "bands").dropDuplicates(["id"])
         source = docs.select(F.col(key).alias("id"), whole_text(text).alias("body"))
-        texts = source.join(own.join(wanted, "id", "left_semi"), "id").select("id", "n", "sketch", "body").dropDuplicates(["id"])
+        texts = source.join(own.join(wanted, "id", "left_semi"), "id").select("id", "n", "sketch", "bands", "body").dropDuplicates(["id"])
         labels = _link(members, materialise(texts), percent, kind)
     twins = known.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high")
     labels = _join_twins(labels, twins, known, classes, kind)
@@ -181,7 +182,7 @@ def _join_twins(labels: DataFrame, twins: DataFrame, known: DataFrame, classes:
 
 
 def shareable(texts: DataFrame) -> DataFrame:
-    """``id, most``: how many shingles of a text are in any other text of ``texts`` (``id, n, body``), as no partner can share more."""
+    """``id, most, bands``: how many shingles of a text are in any other text of ``texts``, as no partner can share more."""
     kind = texts.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("s", T.ArrayType(T.LongType()))])
 
@@ -195,7 +196,7 @@ def shareable(texts: DataFrame) -> DataFrame:
     rows = texts.select("id", "body").mapInArrow(run, schema).select("id", F.explode("s").alias("s"))
     alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
     alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    return texts.select("id", "n").join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    return texts.select("id", "n", "bands").join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"), "bands")
 
 
 def _link(members: DataFrame, texts: DataFrame, percent: int, kind: str) -> DataFrame:
@@ -218,9 +219,12 @@ def _link(members: DataFrame, texts: DataFrame, percent: int, kind: str) -> Data
     rows = materialise(rows.join(split, "cell"))
     most = materialise(shareable(texts.join(rows.select("id").distinct(), "id", "left_semi")))
     rows = materialise(rows.join(most, "id"))
-    other = rows.select("cell", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("most").alias("most_b"))
+    other = rows.select("cell", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("most").alias("most_b"), F.col("bands").alias("bands_b"))
     common = F.least("most", "most_b")
     possible = (F.col("label") < F.col("other")) & (100 * common >= percent * (F.col("n") + F.col("m") - common))
+    # a pair that shares several cells is made in the first of them only
+    shared = F.filter(F.zip_with("bands", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    possible = possible & (F.get(shared, 0) == F.col("cell"))
     one = rows.withColumnRenamed("cell", "cell_a")
     pairs = one.join(other, (F.col("cell_a") == F.col("cell")) & possible).select(F.col("id").alias("a"), "b").distinct()
     done = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
