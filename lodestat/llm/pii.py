@@ -59,6 +59,9 @@ RULES = re.compile(
 )
 MARKED = re.compile(r"[(\[{<]\x20?(?:at|dot|[@.])\x20?[)\]}>]|&#(?:64|46);", re.IGNORECASE | re.ASCII)
 SPELLED = re.compile(DIGIT_RUN, re.IGNORECASE | re.ASCII)
+# In lower case, and no narrower than the rules for a plain "at" before a plain dot and for "plus".
+AT_HOST = re.compile(r"\x20at\x20[a-z0-9-]+\.[a-z0-9]")
+PLUS = re.compile(rf"plus\x20(?:{WORD}|[0-9])")
 DIGIT = {w: str(i) for i, w in enumerate(DIGIT_WORDS)}
 
 
@@ -129,12 +132,13 @@ def rewrite(text: str) -> tuple[str, list[int], list[tuple[int, int, bool]]]:
 
 
 def disguised(text: str) -> bool:
-    """Whether a rule or a glyph applies at all. A plain " at " needs a disguised dot after it, so it isn't asked for."""
+    """Whether a rule or a glyph may apply. It is true wherever one does: each part is as wide as its rule, or wider."""
     if not text.isascii() and NOT_LATIN.search(text) and GLYPH_SEEN.search(text):
         return True
     low = text.lower()
     spelled = any(f"{w} " in low or f"{w}-" in low for w in DIGIT_WORDS) and SPELLED.search(text)
-    return bool(spelled or " dot " in low or MARKED.search(text))
+    plain = " at " in low and AT_HOST.search(low) or "plus " in low and PLUS.search(low)
+    return bool(spelled or " dot " in low or plain or MARKED.search(text))
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -102,6 +102,31 @@ def test_disguised_spans_map_to_the_source(text, want):
     assert [(k, text[a:b]) for a, b, k in added] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("jane at example.com", [("email", "jane at example.com")]),
+        ("call plus 49 30 1234567 today", [("phone", "plus 49 30 1234567")]),
+        ("call \u212aplus 49 30 1234567", [("phone", "plus 49 30 1234567")]),
+        ("Jane AT Example.Com", [("email", "Jane AT Example.Com")]),
+        ("we met at noon. plus 3 more", []),
+    ],
+)
+def test_a_plain_at_or_plus_needs_no_other_disguise(text, want):
+    assert [(k, text[a:b]) for a, b, k in pii.scan(text)[1]] == want
+
+
+def test_personal_gate_never_changes_spans(monkeypatch):
+    rnd = random.Random(6)
+    parts = ["jane", "a.b", " at ", " AT ", "example", "x-y", ".", ".com", " dot ", "[at]", "( dot )", "{.}", "&#64;", "&#46;", "plus ", "Plus ", "+", "49 30 1234567"]
+    parts += ["four", "One ", "-", " ", "  ", "1.2.3", "@", "\u0430", "\u212a", "\u0130", "\u017f", "\u200b", "\xad", "\xa0", "\uff10", "\u00e9", ",", "\n"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12))) for _ in range(20_000)]
+    gated = [pii.scan(t) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda _: True)
+    for text, spans in zip(texts, gated):
+        assert pii.scan(text) == spans, text
+
+
 def test_personal_rows(edge_docs, no_docs, texts):
     rows = pii.find_personal(edge_docs).collect()
     assert len(rows) == len(texts) + 2
