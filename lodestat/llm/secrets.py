@@ -22,26 +22,46 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
-#: Bits per character that a window must exceed, by class; a window of 20 has at most 4.32.
-LIMITS = {"hex": 3.3, "word": 4.3, "code": 3.85}
-# Strings that look random but are not secret.
+#: Bits per character that a window must exceed, by class; a window of 20 has at most 4.32. Random windows reach all but "name".
+LIMITS = {"hex": 3.3, "key": 3.6, "code": 3.85, "letters": 3.8, "word": 3.75, "name": 4.3}
+# Strings that look random but are not secret, and such parts of longer strings.
 ALLOWED = (
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.IGNORECASE | re.ASCII),
     re.compile(r"[0-9_=+/-]+\Z"),
     re.compile(r"(?:[A-Za-z]?[a-z]+[/_-])+[A-Za-z]?[a-z]+\Z"),
-    re.compile(r"ABCDEFGHIJKLMNOPQRSTUVWXYZ|abcdefghijklmnopqrstuvwxyz|(?:EXAMPLE|example)"),
 )
+ALLOWED_PART = re.compile(r"ABCDEFGHIJKLMNOPQRSTUVWXYZ|abcdefghijklmnopqrstuvwxyz|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|EXAMPLE|example")
+# Words and numbers ("step2", "3d") between separators, and words with inner capitals.
+NAME_PART = r"(?:[A-Za-z]?[a-z]+[0-9]*|[A-Z]+[0-9]*|[0-9]+|[0-9]{1,2}[a-z]+)"
+NAME = re.compile(rf"[/_=+-]*{NAME_PART}(?:[/_=+-]+{NAME_PART})+[/_=+-]*\Z|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+\Z")
 #: -(c / W) log2(c / W) for each count c of a window.
 PART = [0.0] + [-(c / WINDOW) * math.log2(c / WINDOW) for c in range(1, WINDOW + 1)]
 
 
 def kind_of(candidate: str) -> str:
-    """Character class: hex digits with a digit, words (letters of one case shape), or code (mixed)."""
+    """Character class: hex digits with a digit; names; key (one case and digits) or code (mixed); word (one case) or letters (mixed)."""
     has_digit = any(c.isdigit() for c in candidate)
     if has_digit and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate):
         return "hex"
     body = candidate[1:]
-    return "code" if has_digit and body.lower() != body else "word"
+    if NAME.match(candidate) and not (has_digit and body.lower() != body):
+        return "name"
+    one_case = body.lower() == body or body.upper() == body
+    if has_digit:
+        return "key" if one_case else "code"
+    return "word" if one_case else "letters"
+
+
+def unlisted(candidate: str) -> list[tuple[int, str]]:
+    """Offsets and texts of the parts that no allow-list match covers."""
+    if any(p.match(candidate) for p in ALLOWED):
+        return []
+    out, at = [], 0
+    for m in ALLOWED_PART.finditer(candidate):
+        out.append((at, candidate[at : m.start()]))
+        at = m.end()
+    out.append((at, candidate[at:]))
+    return [(i, part) for i, part in out if len(part) >= WINDOW and not (at and any(p.match(part) for p in ALLOWED))]
 
 
 def entropy_spans(candidate: str, limit: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -76,11 +96,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     base.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     added = []
     for m in CANDIDATE.finditer(text):
-        found = m[0]
-        if any(p.search(found) if i == 3 else p.match(found) for i, p in enumerate(ALLOWED)):
-            continue
-        for a, b in entropy_spans(found, LIMITS[kind_of(found)]):
-            added.append((m.start() + a, m.start() + b, "entropy"))
+        for i, part in unlisted(m[0]):
+            for a, b in entropy_spans(part, LIMITS[kind_of(part)]):
+                added.append((m.start() + i + a, m.start() + i + b, "entropy"))
     # an added span that a base span already covers says nothing new
     kept, at = [], 0
     reach = 0

@@ -172,6 +172,41 @@ def test_entropy_adds_and_allow_list_suppresses():
         assert secrets.scan(clean)[1] == [], clean
 
 
+@pytest.mark.parametrize(
+    ("alphabet", "of_32", "of_20"),
+    [
+        ("abcdefghijklmnopqrstuvwxyz0123456789", 0.97, 0.85),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 0.97, 0.85),
+        ("abcdefghijklmnopqrstuvwxyz234567", 0.96, 0.78),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.96, 0.78),
+        ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.96, 0.78),
+        ("abcdefghijklmnopqrstuvwxyz", 0.7, 0.3),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.7, 0.3),
+    ],
+)
+def test_random_strings_of_each_class_are_found(alphabet, of_32, of_20):
+    rnd = random.Random(7)
+    for n, least in ((32, of_32), (20, of_20)):
+        drawn = ["".join(rnd.choice(alphabet) for _ in range(n)) for _ in range(500)]
+        assert sum(bool(secrets.scan(f"see {s} now")[1]) for s in drawn) >= least * len(drawn)
+
+
+def test_names_and_long_words_are_not_secrets():
+    names = ["internationalization", "Donaudampfschifffahrtsgesellschaft", "getElementByIdAndClassName", "MAX_NUMBER_OF_RETRIES_PER", "posts/2021/05/how-to-bake-bread"]
+    names += ["/usr/local/lib/python3/site-packages", "python/visualization/2d/scatter", "customer_analysis/step1_basic"]
+    for clean in names:
+        assert secrets.scan(clean)[1] == [], clean
+
+
+def test_allow_list_suppresses_only_what_it_covers():
+    token = "q7x2m9k4v8b1n6c3z5l0p"
+    for text in (f"example/{token}", f"{token}_example", f"abcdefghijklmnopqrstuvwxyz{token}EXAMPLE"):
+        (a, b, kind), = secrets.scan(text)[1]
+        assert kind == "entropy" and token in text[a:b] and "example" not in text[a:b].lower() and b - a <= len(token) + 1, text
+    for clean in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"):
+        assert secrets.scan(clean)[1] == [], clean
+
+
 def test_secret_rows(edge_docs, no_docs, texts):
     assert secrets.find_secrets(edge_docs).count() == len(texts) + 2
     assert secrets.find_secrets(no_docs).count() == 0
