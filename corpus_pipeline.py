@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier can't be expressed in SQL; tests compare run() with a brute-force version.
+#: The classifier can't be expressed in SQL; tests/llm/test_pipeline.py compares run() and the rows after each stage with brute force.
 ORACLE_SQL = None
 
 
