@@ -1,9 +1,9 @@
-"""Removal of long repeated byte strings, by doubling from sampled positions.
+"""Removal of long repeated byte strings, by hashes at sampled positions.
 
-Prefix doubling ranks every position by ever longer prefixes and drops positions as soon as they are unique. Here the positions are
-first sampled so that no repeat can be missed: of every ``LENGTH`` bytes the smallest hash of a ``GRAM``-byte string marks an anchor,
-the same one in every copy. All positions whose window has the same anchor are one interval of offsets, and Spark sorts intervals by
-keys of growing length:
+Prefix doubling ranks every position by ever longer prefixes and drops positions as soon as they are unique. This isn't prefix doubling:
+nothing is ranked. Positions are first sampled so that no repeat can be missed: of every ``LENGTH`` bytes the smallest hash of a
+``GRAM``-byte string marks an anchor, the same one in every copy. All positions whose window has the same anchor are one interval of
+offsets, and Spark groups and counts intervals by keys at three fixed levels:
 
 * the anchor's own bytes: an anchor seen once drops its whole interval;
 * the bytes common to all windows of an interval (a unique one drops it) and the bytes of all its windows together (a repeated one
