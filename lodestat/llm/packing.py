@@ -1,10 +1,11 @@
 """Lexical retrieval packing: documents with words in common share a training sequence.
 
-Documents are tokenized once into a table. Each is routed by its most telling token, so that likely neighbours meet in one shard; a
-frequent token is salted over several shards. A shard holds a BM25 inverted index of at most ``SHARD_DOCS`` documents at a time, with
-document frequencies of the whole corpus. A seed document asks it for its best unused neighbours, which greedily fill the window; the
-last one is cut where the window ends, and its rest is the next seed. Only the last window of a shard isn't full: it is cut at powers
-of two, which need no padding.
+Documents are tokenized once into a table. Their order is that of their most telling token, then of the next ``ROUTE - 1``, so that
+likely neighbours stand together, and ranges of this order are dealt out: a frequent token is parted by its next tokens. A shard holds
+BM25 weights of ``SHARD_DOCS`` documents in order at a time, with document frequencies of the whole corpus; neighbours in another shard
+are out of reach. A seed document asks it, with all its distinct tokens, for its best unused neighbours, which greedily fill the window;
+the last one is cut where the window ends, and its rest is the next seed. Only the last window of a shard isn't full: it is cut at
+powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ from lodestat.llm.common import materialise, text_values, whole_text
 
 WINDOW = 2048
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 22
-SALTS = 8
-QUERY_TERMS, ASKED = 16, 64
+ROUTE, ASKED = 4, 64
 K1, B = 1.2, 0.75
 MAX_WORDS = 400_000
 SUFFIX = b"\xff"  # stands for the end of a word; never part of UTF-8
@@ -135,25 +135,23 @@ def weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray,
 
 
 class Shard:
-    """Inverted index of some documents, and the windows they fill."""
+    """BM25 weights of some documents, and the windows they fill."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.docs = docs
         pairs = [weights(d, idf, mean) for d in docs]
-        self.queries = [t[np.argsort(-w, kind="stable")[:QUERY_TERMS]] for t, w in pairs]
-        terms = np.concatenate([t for t, _ in pairs])
-        order = np.argsort(terms, kind="stable")
-        self.terms = terms[order]
-        self.owners = np.repeat(np.arange(len(docs)), [len(t) for t, _ in pairs])[order]
-        self.scores = np.concatenate([w for _, w in pairs])[order]
+        self.starts = np.cumsum([0, *[len(t) for t, _ in pairs]])
+        known, self.terms = np.unique(np.concatenate([t for t, _ in pairs]), return_inverse=True)
+        self.scores = np.concatenate([w for _, w in pairs])
+        self.asked = np.zeros(len(known))
         self.free = np.ones(len(docs), bool)
 
     def neighbours(self, seed: int) -> list[int]:
         """Unused documents, best BM25 score first; those without a common term follow in order."""
-        score = np.zeros(len(self.docs))
-        query = self.queries[seed].astype(self.terms.dtype)
-        for a, b in zip(np.searchsorted(self.terms, query), np.searchsorted(self.terms, query, side="right")):
-            score[self.owners[a:b]] += self.scores[a:b]
+        query = self.terms[self.starts[seed] : self.starts[seed + 1]]
+        self.asked[query] = 1.0
+        score = np.add.reduceat(self.asked[self.terms] * self.scores, self.starts[:-1])
+        self.asked[query] = 0.0
         unused = np.flatnonzero(self.free)
         if len(unused) > ASKED:
             unused = unused[np.argpartition(-score[unused], ASKED)[:ASKED]]
@@ -237,7 +235,10 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     total = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     mean = max(1.0, total / width / max(1, n_docs))
 
-    routed = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), T.StructField("route", T.IntegerType()), T.StructField("tie", T.LongType())])
+    names = [f"route{i}" for i in range(ROUTE)]
+    routed = T.StructType([
+        T.StructField("id", kind), T.StructField("ids", T.BinaryType()), *[T.StructField(c, T.IntegerType()) for c in names], T.StructField("tie", T.LongType()),
+    ])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,9 +247,11 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 body = value.as_py()
                 terms, w = weights(np.frombuffer(body, code), idf, mean)
                 w = np.where(seen[terms] > 1, w, 0.0)
-                routes.append(int(terms[w.argmax()]))
+                best = terms[np.argsort(-w, kind="stable")[:ROUTE]].tolist()
+                routes.append(best + [-1] * (ROUTE - len(best)))
                 ties.append(zlib.crc32(body))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(routes, pa.int32()), pa.array(ties, pa.int64())], names=["id", "ids", "route", "tie"])
+            tokens = np.array(routes, np.int32).reshape(-1, ROUTE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in tokens.T.copy()], pa.array(ties, pa.int64())], names=routed.names)
 
     out_schema = T.StructType([
         T.StructField(key, kind), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")],
@@ -286,6 +289,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         if ids:
             yield flush()
 
-    shards = rows.select("id", "ids").mapInArrow(route, routed)
-    shards = shards.repartition("route", F.pmod(F.xxhash64("tie", "id"), F.lit(SALTS))).sortWithinPartitions("route", "tie", "id")
+    # written first, as dealing out ranges reads the order twice; the row number parts rows that are alike in everything
+    order = [*names, "tie", "id", "row"]
+    shards = materialise(rows.select("id", "ids").mapInArrow(route, routed).withColumn("row", F.monotonically_increasing_id()))
+    shards = shards.repartitionByRange(*order).sortWithinPartitions(*order)
     return shards.select("id", "ids").mapInArrow(fill, out_schema)

@@ -234,6 +234,40 @@ def test_packing_takes_neighbours():
     assert shard.neighbours(0)[0] == 2
 
 
+def test_packing_asks_with_all_tokens():
+    """The seed shares only its lightest tokens with the third document and nothing with the second."""
+    docs = [np.arange(10, 50, dtype=np.uint16), np.arange(60, 100, dtype=np.uint16), np.arange(40, 80, dtype=np.uint16)]
+    shard = packing.Shard(docs, np.linspace(9, 1, 100), 40.0)
+    shard.free[0] = False
+    assert shard.neighbours(0)[0] == 2
+
+
+def test_packing_keeps_neighbours_together(spark):
+    """Groups of eight documents about the same rare words, one of which is in all documents of four groups; each group fills a window at most."""
+    import random
+
+    rnd = random.Random(9)
+    rows = []
+    for group in range(48):
+        own = [f"{a}{group % 12}{b}{group // 12}" for a, b in zip("qwzxjk", "vyxkqj")]
+        for i in range(8):
+            rows.append((i * 1000 + group, " ".join(rnd.choice([f"x{group // 4}y", *own, "the", "of", "and"]) for _ in range(50))))
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), tokenizer("word_bpe_49k.json")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    met = collections.defaultdict(set)
+    for r in found:
+        met[r["sequence_id"]].add(r["doc_id"])
+    beside = sum(any(len({d for d in docs if d % 1000 == k % 1000}) > 1 for docs in met.values() if k in docs) for k, _ in rows)
+    assert beside >= 0.9 * len(rows)
+
+
 def test_classifier(spark, no_docs):
     import random
 
