@@ -117,3 +117,13 @@ def test_results_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": rng.integers(0, 20, 500), "b": rng.integers(0, 20, 500)}))
     one, many = (R.corr_kendall(d, ["a", "b"]).first()["r"] for d in (df.coalesce(1), df.repartition(7)))
     assert one == pytest.approx(many)
+
+
+def test_text_classifier_entry_has_the_operators_defaults(spark, monkeypatch):
+    from lodestat import plans
+    from lodestat.operators import similarity
+
+    seen = []
+    monkeypatch.setattr(similarity, "text_classifier", lambda *args, **kwargs: seen.append((len(args), kwargs)))
+    plans.QUERIES["text_classifier"](spark, "/root/testdata/sf0.001")
+    assert seen == [(5, {})]
