@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestat.llm.codes import product_codes
 from lodestat.llm.common import read_table
 from lodestat.llm.exact import dedup_exact
 from lodestat.llm.imatch import compare_with_edits
 from lodestat.llm.mixing import poisson_mix
 from lodestat.llm.neardup import near_duplicates
+from lodestat.llm.negatives import hard_negatives
 from lodestat.llm.packing import pack
 from lodestat.llm.pii import find_personal
 from lodestat.llm import quality
@@ -115,3 +117,50 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_retrieval_packing")
 def retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+NEGATIVES_SQL = """
+    WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+        FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+    n AS (SELECT p.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS place
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+    SELECT anchor_id, positive_id, CAST(place AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 10
+"""
+
+
+@query("op12_str_negatives", NEGATIVES_SQL)
+def str_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+# the same rounds by comparing every part with every entry; parts of four components, as the vectors have 64
+CODES_ROUND = """
+    n{1} AS (SELECT p.vec_id, p.part, arg_min(e.entry, (list_sum(list_transform(list_zip(p.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e.entry)) AS entry,
+        min(list_sum(list_transform(list_zip(p.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM p JOIN b{0} e USING (part) GROUP BY ALL),
+    m{1} AS (SELECT part, entry, [{2}] AS v FROM n{1} JOIN p USING (vec_id, part) GROUP BY ALL),
+    b{1} AS (SELECT part, entry, coalesce(m{1}.v, b{0}.v) AS v FROM b{0} LEFT JOIN m{1} USING (part, entry))
+"""
+MEANS = ", ".join(f"CAST((sum(v[{i}]) - ((sum(v[{i}]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)" for i in range(1, 5))
+CODES_SQL = f"""
+    WITH r AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT vec_id, part, w[4 * part + 1 : 4 * part + 4] AS v FROM r, (SELECT unnest(range(16)) AS part)),
+    b0 AS (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, v FROM p QUALIFY entry < 64),
+    {CODES_ROUND.format(0, 1, MEANS)}, {CODES_ROUND.format(1, 2, MEANS)}, {CODES_ROUND.format(2, 3, MEANS)},
+    h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2),
+    c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n3 GROUP BY 1)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN r USING (vec_id), h
+"""
+
+
+@query("op13_orchard_codes", CODES_SQL)
+def orchard_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return product_codes(read_table(spark, folder, "embeddings"))
