@@ -12,6 +12,7 @@ from lodestat.llm.codes import product_codes
 from lodestat.llm.common import read_table
 from lodestat.llm.exact import dedup_exact
 from lodestat.llm.imatch import compare_with_edits
+from lodestat.llm.language import score_corpus
 from lodestat.llm.mixing import poisson_mix
 from lodestat.llm.neardup import near_duplicates
 from lodestat.llm.negatives import hard_negatives
@@ -135,6 +136,11 @@ NEGATIVES_SQL = """
 """
 
 
+@query("op11_bloom_scores")
+def bloom_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_corpus(read_table(spark, folder, "documents"))
+
+
 @query("op12_str_negatives", NEGATIVES_SQL)
 def str_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
