@@ -1,4 +1,4 @@
-"""Forecast models that fit parameters: Holt-Winters, ARIMA, lag regression; and stationarity tests.
+"""Forecast models that fit parameters: ARIMA, lag regression; and stationarity tests.
 
 Fits are sums over chunks of a series (squared errors, cross products), so a
 long series is fitted by many tasks; only parameters and last rows meet.
@@ -18,89 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import ordering as O
 from lodestat.operators import series as S
-
-
-def _keyed(s: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], bool]:
-    return (s, keys, False) if keys else (s.withColumn("_series", F.lit(0)), ["_series"], True)
-
-
-def _spec(df: DataFrame, keys: list[str], tail: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys] + [tail])
-
-
-# ---- Holt-Winters ------------------------------------------------------------
-
-HW_GRID = list(product([0.1, 0.3, 0.5, 0.8], [0.01, 0.1, 0.3], [0.05, 0.2, 0.5]))  # fixed values: alpha, beta, gamma
-
-
-def _hw_run(y: np.ndarray, first: int, m: int, seasonal: bool, own: np.ndarray):
-    """All grid points at once over one chunk: squared errors on own rows and the last state."""
-    a, b, g = (np.array(v) for v in zip(*HW_GRID))
-    level = np.full(len(a), y[:m].mean())
-    trend = np.full(len(a), (y[m : 2 * m].mean() - y[:m].mean()) / m if len(y) >= 2 * m else 0.0)
-    season = np.zeros((m, len(a)))
-    if seasonal:
-        for i in range(m):
-            season[(first + i) % m] = y[i] - y[:m].mean()
-    sse, count = np.zeros(len(a)), 0
-    for i in range(m, len(y)):
-        k = (first + i) % m
-        guess = level + trend + season[k]
-        e = y[i] - guess
-        if own[i]:
-            sse += e * e
-            count += 1
-        old = level
-        level = a * (y[i] - season[k]) + (1 - a) * (level + trend)
-        trend = b * (level - old) + (1 - b) * trend
-        if seasonal:
-            season[k] = g * (y[i] - level) + (1 - g) * season[k]
-    return sse, count, level, trend, season
-
-
-def forecast_holt_winters(s: DataFrame, keys: list[str], periods: int = 10, period: int = 12, chunk: int = O.CHUNK) -> DataFrame:
-    """Additive trend and season (from 24 rows), parameters from a grid by squared error.
-
-    A chunk warms up on the rows before it; the smoothing forgets older rows.
-    """
-    s, by, single = _keyed(s, keys)
-    burn = 200 * period
-    h, _ = O.with_halo(s, by, burn, 0, chunk=chunk)
-
-    def fit(pdf):
-        pdf = pdf.sort_values("pos")
-        n = int(pdf["n_rows"].iloc[0])
-        seasonal = n >= 24
-        m = min(period, n // 2) if seasonal else min(2, max(1, n // 2))
-        y, own = pdf["y"].to_numpy(float), pdf["_own"].to_numpy(bool)
-        first = int(pdf["pos"].iloc[0])
-        if len(y) <= m:
-            return pd.DataFrame()
-        sse, count, level, trend, season = _hw_run(y, first, m, seasonal, own)
-        last = bool((pdf["pos"] == n - 1).any())
-        out = pd.DataFrame({"g": np.arange(len(HW_GRID)), "sse": sse, "c": count, "n": n, "m": m})
-        out["level"] = level if last else np.nan
-        out["trend"] = trend if last else np.nan
-        out["season"] = [season[:, i].tolist() if last else None for i in range(len(HW_GRID))]
-        for k in by:
-            out[k] = pdf[k].iloc[0]
-        return out[[*by, "g", "sse", "c", "n", "m", "level", "trend", "season"]]
-
-    spec = _spec(s, by, "g int, sse double, c long, n long, m int, level double, trend double, season array<double>")
-    parts = h.groupBy(*by, "_chunk").applyInPandas(fit, spec)
-    level = F.when(~F.isnan("level"), F.col("level"))
-    trend = F.when(~F.isnan("trend"), F.col("trend"))
-    fits = parts.groupBy(*by, "g").agg(
-        F.sum("sse").alias("sse"), F.sum("c").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"),
-        F.max(level).alias("level"), F.max(trend).alias("trend"), F.max("season").alias("season"),
-    )
-    best = fits.groupBy(*by).agg(F.min_by(F.struct("sse", "c", "n", "m", "level", "trend", "season"), F.struct("sse", "g")).alias("b")).select(*by, "b.*")
-    info = S._tail_info(s, by)
-    rows = S._future(O.join_small(info, best, by, bounded=single), by, periods)
-    k = ((F.col("n") + F.col("step") - 1) % F.col("m") + 1).cast("int")
-    y = F.col("level") + F.col("step") * F.col("trend") + F.element_at("season", k)
-    edge = 1.96 * F.sqrt(F.try_divide(F.col("sse"), F.col("c").cast("double")))
-    return rows.select(*keys, "step", "time", y.alias("forecast"), (y - edge).alias("lower"), (y + edge).alias("upper"))
+from lodestat.operators.smoothing import forecast_holt_winters, keyed, spec  # noqa: F401
 
 
 # ---- cross products ----------------------------------------------------------
@@ -120,7 +38,7 @@ def gram(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
                     out[k] = x
                 yield out[[*keys, "i", "j", "s"]]
 
-    return rows.select(*keys, vector).mapInPandas(part, _spec(rows, keys, "i int, j int, s double")).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
+    return rows.select(*keys, vector).mapInPandas(part, spec(rows, keys, "i int, j int, s double")).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -143,7 +61,7 @@ LONG_AR, MAX_P, MAX_Q = 10, 2, 2  # fixed values: long autoregression and order
 
 def forecast_arima(s: DataFrame, keys: list[str], periods: int = 10) -> DataFrame:
     """Order by AIC over p, q <= 2 and d <= 1; Hannan-Rissanen two-step least squares; interval from psi weights."""
-    s, by, single = _keyed(s, keys)
+    s, by, single = keyed(s, keys)
     diffs = S.lag_diff(s, by).where("diff is not null").select(*by, "time", F.col("diff").alias("y"), (F.col("pos") - 1).alias("pos"), (F.col("n_rows") - 1).alias("n_rows"))
     base = s.select(*by, "time", "y", "pos", "n_rows").withColumn("d", F.lit(0)).unionByName(diffs.withColumn("d", F.lit(1)))
     both = [*by, "d"]
@@ -156,7 +74,7 @@ def forecast_arima(s: DataFrame, keys: list[str], periods: int = 10) -> DataFram
         coef, _, _ = _solve(_matrix(pdf), list(range(LONG_AR + 1)), LONG_AR + 1)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in both}, "ar": [coef.tolist()]})
 
-    ar = first.groupBy(*both).applyInPandas(long_ar, _spec(z, both, "ar array<double>"))
+    ar = first.groupBy(*both).applyInPandas(long_ar, spec(z, both, "ar array<double>"))
     fitted = F.aggregate(F.zip_with(F.col("ar"), F.concat(F.array(F.lit(1.0)), F.col("lags")), lambda a, x: a * x), F.lit(0.0), lambda a, x: a + x)
     res = O.join_small(lagged, ar, both, bounded=single).withColumn("e", F.col("y") - fitted)
     res = res.select(*both, "_m", "_s", "y", "e", F.slice("lags", 1, MAX_P).alias("zl"), (F.col("pos") - LONG_AR).alias("pos"), (F.col("n_rows") - LONG_AR).alias("n_rows"))
@@ -200,7 +118,7 @@ def forecast_arima(s: DataFrame, keys: list[str], periods: int = 10) -> DataFram
             res_[k] = pdf[k].iloc[0]
         return res_[[*by, "step", "forecast", "lower", "upper", "ar_order", "difference", "ma_order", "aic"]]
 
-    spec = _spec(s, by, "step int, forecast double, lower double, upper double, ar_order int, difference int, ma_order int, aic double")
+    spec = spec(s, by, "step int, forecast double, lower double, upper double, ar_order int, difference int, ma_order int, aic double")
     out = joined.groupBy(*by).applyInPandas(choose, spec)
     return out.drop("_series") if single else out
 
@@ -236,7 +154,7 @@ ADF_LAGS = 12
 
 def adf(s: DataFrame, keys: list[str], max_lag: int = ADF_LAGS) -> DataFrame:
     """Augmented Dickey-Fuller statistic with the lag number by AIC."""
-    s, by, single = _keyed(s, keys)
+    s, by, single = keyed(s, keys)
     stats = s.groupBy(*by).agg(F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"))
     z = O.join_small(s, stats, by, bounded=single).where("_s > 0").withColumn("y", (F.col("y") - F.col("_m")) / F.col("_s"))
     rows = S.lag_array(z, by, max_lag + 1).where(F.col("pos") >= max_lag + 1)
@@ -259,14 +177,14 @@ def adf(s: DataFrame, keys: list[str], max_lag: int = ADF_LAGS) -> DataFrame:
         row = (np.nan, 0) if best is None else (best[2], best[1])
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "statistic": [float(row[0])], "lags": [row[1]], "n": [int(n)]})
 
-    out = g.groupBy(*by).applyInPandas(test, _spec(s, by, "statistic double, lags int, n long"))
+    out = g.groupBy(*by).applyInPandas(test, spec(s, by, "statistic double, lags int, n long"))
     out = out.withColumns({k: F.lit(v) for k, v in ADF_CRITICAL.items()}).withColumn("stationary", F.col("statistic") < ADF_CRITICAL["critical_5"])
     return out.drop("_series") if single else out
 
 
 def kpss(s: DataFrame, keys: list[str], lags: int = 5) -> DataFrame:
     """KPSS level statistic with Bartlett weights over ``lags`` autocovariances."""
-    s, by, single = _keyed(s, keys)
+    s, by, single = keyed(s, keys)
     mean = s.groupBy(*by).agg(F.avg("y").alias("_m"))
     e = O.join_small(s, mean, by, bounded=single).withColumn("y", F.col("y") - F.col("_m"))
     part = O.running_sum(e, {"_run": F.col("y")}, by).groupBy(*by).agg(F.sum(F.col("_run") ** 2).alias("eta"), F.count(F.lit(1)).alias("n"), F.sum(F.col("y") ** 2).alias("g0"))

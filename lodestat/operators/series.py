@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestat.functions import columns as C
 from lodestat.functions import ordering as O
 from lodestat.functions import tails
+from lodestat.operators.smoothing import smooth
 
 
 
@@ -443,22 +444,6 @@ def forecast_linear(s: DataFrame, keys: list[str], periods: int = 10) -> DataFra
     return rows.select(*keys, "step", "time", y.alias("forecast"), (y - edge).alias("lower"), (y + edge).alias("upper"))
 
 
-def smooth(s: DataFrame, keys: list[str], alpha: float = 0.3, chunk: int = O.CHUNK) -> DataFrame:
-    """Simple exponential smoothing.
-
-    The weight of a value k rows back is (1 - alpha)^k; beyond the look-back
-    used here it is under the double rounding error of the sum.
-    """
-    import math
-
-    reach = 1 if alpha >= 1 else math.ceil(math.log(1e-18) / math.log(1 - alpha))
-    h, w = halo(s, keys, reach, chunk=chunk)
-    past = F.collect_list("y").over(w.rowsBetween(-reach, 0))
-    rest = F.slice(past, F.lit(2), F.size(past))
-    level = F.aggregate(rest, F.element_at(past, 1), lambda a, v: alpha * v + (1 - alpha) * a)
-    return O.drop_halo(h.withColumn("smoothed", level))
-
-
 def forecast_ses(s: DataFrame, keys: list[str], periods: int = 10, alpha: float = 0.3) -> DataFrame:
     level = _by(smooth(s, keys, alpha), keys).agg(F.max_by("smoothed", "pos").alias("_level"))
     rows = _future(O.join_small(_tail_info(s, keys), level, keys, bounded=not keys), keys, periods)

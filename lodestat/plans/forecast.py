@@ -5,7 +5,7 @@ from __future__ import annotations
 from lodestat.operators import forecast as M
 from lodestat.operators import forest as T
 from lodestat.plans.registry import query
-from lodestat.plans.series import OD, ev, od
+from lodestat.plans.series import EV, OD, day, ev, od
 
 
 @query("outliers_isolation_forest")
@@ -13,9 +13,29 @@ def _(t):
     return T.isolation_forest(t.events, "event_id", ["value", "user_id"], contamination=0.05)
 
 
-@query("forecast_holt_winters")
+# every grid point as a recursion over the rows of a series, the state's season in a list
+HOLT_WINTERS = f"""WITH RECURSIVE s AS (SELECT * FROM {EV} x),
+  m AS (SELECT event_type, any_value(n_rows) AS n, n >= 24 AS seasonal, CASE WHEN n >= 24 THEN least(7, n // 2) ELSE least(2, greatest(1, n // 2)) END AS m FROM s GROUP BY 1),
+  i AS (SELECT event_type, n, seasonal, m, avg(y) FILTER (pos < m) AS level, avg(y) FILTER (pos >= m AND pos < 2 * m) AS later,
+    list(y ORDER BY pos) FILTER (pos < m) AS head FROM s JOIN m USING (event_type) GROUP BY ALL),
+  g AS (SELECT 9 * i + 3 * j + k AS g, [0.1, 0.3, 0.5, 0.8][i + 1]::DOUBLE AS a, [0.01, 0.1, 0.3][j + 1]::DOUBLE AS b, [0.05, 0.2, 0.5][k + 1]::DOUBLE AS c
+    FROM (SELECT unnest(range(4)) AS i), (SELECT unnest(range(3)) AS j), (SELECT unnest(range(3)) AS k)),
+  r AS (SELECT event_type, g, a, b, c, n, seasonal, m, m - 1 AS pos, level, CASE WHEN n >= 2 * m THEN (later - level) / m ELSE 0 END AS trend,
+      list_transform(head, lambda v: CASE WHEN seasonal THEN v - level ELSE 0 END) AS season, 0::DOUBLE AS sse FROM i, g WHERE n > m
+    UNION ALL
+    SELECT event_type, g, a, b, c, n, seasonal, m, pos, up, b * (up - level) + (1 - b) * trend,
+      CASE WHEN seasonal THEN list_transform(season, lambda v, j: CASE WHEN j = k THEN c * (y - up) + (1 - c) * v ELSE v END) ELSE season END, sse + pow(y - level - trend - season[k], 2)
+    FROM (SELECT r.*  EXCLUDE (pos), s.pos, s.y, s.pos % m + 1 AS k, a * (s.y - season[s.pos % m + 1]) + (1 - a) * (level + trend) AS up FROM r JOIN s ON s.event_type = r.event_type AND s.pos = r.pos + 1)),
+  e AS (SELECT event_type, m, n, z.l AS l, z.t AS t, z.s AS s, z.sse AS sse FROM (SELECT event_type, m, n, arg_min({{l: level, t: trend, s: season, sse: sse}}, (sse, g)) AS z FROM r WHERE pos = n - 1 GROUP BY ALL)),
+  w AS (SELECT event_type, max(time) AS last FROM s GROUP BY 1), q AS (SELECT event_type, median(d) AS gap FROM (SELECT event_type, date_diff('second', lag(time) OVER (PARTITION BY event_type ORDER BY pos), time) AS d FROM s) GROUP BY 1),
+  f AS (SELECT event_type, step, strftime(last + to_seconds(CAST(step * gap AS BIGINT)), '%Y-%m-%d') AS time, l + step * t + s[(n + step - 1) % m + 1] AS forecast, 1.96 * sqrt(sse / (n - m)) AS edge
+    FROM e JOIN w USING (event_type) JOIN q USING (event_type), (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS step))
+  SELECT event_type, step, time, forecast, forecast - edge AS lower, forecast + edge AS upper FROM f"""
+
+
+@query("forecast_holt_winters", HOLT_WINTERS, approx=("forecast", "lower", "upper"))
 def _(t):
-    return M.forecast_holt_winters(ev(t), ["event_type"], 7, 7)
+    return day(M.forecast_holt_winters(ev(t), ["event_type"], 7, 7))
 
 
 @query("forecast_arima")

@@ -127,3 +127,63 @@ def test_text_classifier_entry_has_the_operators_defaults(spark, monkeypatch):
     monkeypatch.setattr(similarity, "text_classifier", lambda *args, **kwargs: seen.append((len(args), kwargs)))
     plans.QUERIES["text_classifier"](spark, "/root/testdata/sf0.001")
     assert seen == [(5, {})]
+
+
+def brute_holt_winters(y, period, periods):
+    from itertools import product
+
+    n = len(y)
+    seasonal = n >= 24
+    m = min(period, n // 2) if seasonal else min(2, max(1, n // 2))
+    best = None
+    for g, (a, b, c) in enumerate(product([0.1, 0.3, 0.5, 0.8], [0.01, 0.1, 0.3], [0.05, 0.2, 0.5])):
+        level, trend = y[:m].mean(), (y[m : 2 * m].mean() - y[:m].mean()) / m if n >= 2 * m else 0.0
+        season, sse = (list(y[:m] - level) if seasonal else [0.0] * m), 0.0
+        for i in range(m, n):
+            k = i % m
+            sse += (y[i] - level - trend - season[k]) ** 2
+            old, level = level, a * (y[i] - season[k]) + (1 - a) * (level + trend)
+            trend = b * (level - old) + (1 - b) * trend
+            season[k] = c * (y[i] - level) + (1 - c) * season[k] if seasonal else 0.0
+        if best is None or sse < best[0]:
+            best = (sse, level, trend, season)
+    sse, level, trend, season = best
+    f = np.array([level + h * trend + season[(n + h - 1) % m] for h in range(1, periods + 1)])
+    return f, 1.96 * np.sqrt(sse / (n - m))
+
+
+@pytest.mark.parametrize("chunk", [100, 1000, 65536])
+def test_holt_winters_does_not_depend_on_chunks(spark, chunk):
+    rng = np.random.default_rng(8)
+    i = np.arange(2357)
+    y = 50 + 0.01 * i + 9 * np.sin(2 * np.pi * i / 12) + np.cumsum(rng.normal(size=len(i))) * 0.3
+    got = M.forecast_holt_winters(series(spark, y), [], 6, 12, chunk=chunk).orderBy("step").toPandas()
+    f, edge = brute_holt_winters(y, 12, 6)
+    assert np.allclose(got["forecast"], f, rtol=1e-9) and np.allclose(got["upper"] - got["forecast"], edge, rtol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 23, 24])
+def test_holt_winters_of_short_series(spark, n):
+    y = np.random.default_rng(n).normal(size=n) + 5
+    got = M.forecast_holt_winters(series(spark, y), [], 3, 12).orderBy("step").toPandas()
+    if n == 1:
+        assert got.empty
+    else:
+        assert np.allclose(got["forecast"], brute_holt_winters(y, 12, 3)[0])
+
+
+@pytest.mark.parametrize("alpha, chunk", [(0.3, 100), (0.3, 65536), (0.001, 100), (0.95, 65536), (1.0, 10)])
+def test_smooth_does_not_depend_on_chunks(spark, alpha, chunk):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": rng.integers(0, 3, 5000), "y": rng.normal(size=5000) * 1e3})
+    pdf["k"] = pdf["k"].where(pdf["k"] < 2)
+    pdf["t"] = pd.date_range("2024-01-01", periods=5000, freq="h")
+    s = S.prepare_series(spark.createDataFrame(pdf.astype({"k": object}).where(pdf.notna(), None), "k double, y double, t timestamp_ntz"), "t", "y", ["k"])
+    got = S.smooth(s, ["k"], alpha, chunk=chunk).toPandas()
+    assert set(got.columns) == {"k", "time", "y", "pos", "n_rows", "smoothed"}
+    for k, g in got.groupby("k", dropna=False):
+        level, want = None, []
+        for v in g.sort_values("pos")["y"]:
+            level = v if level is None else alpha * v + (1 - alpha) * level
+            want.append(level)
+        assert np.allclose(g.sort_values("pos")["smoothed"], want, rtol=1e-9, atol=1e-9)
