@@ -1,4 +1,4 @@
-"""Forecast models that fit parameters: ARIMA, lag regression; and stationarity tests.
+"""Forecast models that fit parameters: lag regression, with ARIMA and Holt-Winters from their modules; and stationarity tests.
 
 Fits are sums over chunks of a series (squared errors, cross products), so a
 long series is fitted by many tasks; only parameters and last rows meet.
@@ -7,8 +7,6 @@ Estimates follow the published methods and differ in digits from other tools.
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import ordering as O
 from lodestat.operators import series as S
+from lodestat.operators.arima import forecast_arima  # noqa: F401
 from lodestat.operators.smoothing import forecast_holt_winters, keyed, spec  # noqa: F401
 
 
@@ -54,75 +53,6 @@ def _solve(m: np.ndarray, xs: list[int], y: int):
     return coef, float(max(m[y, y] - coef @ b, 1e-12)), a
 
 
-# ---- ARIMA -------------------------------------------------------------------
-
-LONG_AR, MAX_P, MAX_Q = 10, 2, 2  # fixed values: long autoregression and order limits
-
-
-def forecast_arima(s: DataFrame, keys: list[str], periods: int = 10) -> DataFrame:
-    """Order by AIC over p, q <= 2 and d <= 1; Hannan-Rissanen two-step least squares; interval from psi weights."""
-    s, by, single = keyed(s, keys)
-    diffs = S.lag_diff(s, by).where("diff is not null").select(*by, "time", F.col("diff").alias("y"), (F.col("pos") - 1).alias("pos"), (F.col("n_rows") - 1).alias("n_rows"))
-    base = s.select(*by, "time", "y", "pos", "n_rows").withColumn("d", F.lit(0)).unionByName(diffs.withColumn("d", F.lit(1)))
-    both = [*by, "d"]
-    stats = base.groupBy(*both).agg(F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"))
-    z = O.join_small(base, stats, both, bounded=single).where("_s > 0").withColumn("y", (F.col("y") - F.col("_m")) / F.col("_s"))
-    lagged = S.lag_array(z, both, LONG_AR).where(F.col("pos") >= LONG_AR)
-    first = gram(lagged.withColumn("v", F.concat(F.array(F.lit(1.0)), F.col("lags"), F.array("y"))), both, "v")
-
-    def long_ar(pdf):
-        coef, _, _ = _solve(_matrix(pdf), list(range(LONG_AR + 1)), LONG_AR + 1)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in both}, "ar": [coef.tolist()]})
-
-    ar = first.groupBy(*both).applyInPandas(long_ar, spec(z, both, "ar array<double>"))
-    fitted = F.aggregate(F.zip_with(F.col("ar"), F.concat(F.array(F.lit(1.0)), F.col("lags")), lambda a, x: a * x), F.lit(0.0), lambda a, x: a + x)
-    res = O.join_small(lagged, ar, both, bounded=single).withColumn("e", F.col("y") - fitted)
-    res = res.select(*both, "_m", "_s", "y", "e", F.slice("lags", 1, MAX_P).alias("zl"), (F.col("pos") - LONG_AR).alias("pos"), (F.col("n_rows") - LONG_AR).alias("n_rows"))
-    full = S.lag_array(res, both, MAX_Q, y="e").where(F.col("pos") >= MAX_Q)
-    vec = F.concat(F.array(F.lit(1.0)), F.col("zl"), F.col("lags"), F.array("y"))
-    second = gram(full.withColumn("v", vec), both, "v")
-    last = full.groupBy(*both).agg(F.max_by(F.struct("y", "e", "zl", F.col("lags").alias("el"), "_m", "_s"), "pos").alias("t")).select(*both, "t.*")
-    ends = s.groupBy(*by).agg(F.max_by("y", "pos").alias("_y_last"))
-    tail = O.join_small(last, ends, by, bounded=single)
-    # one small matrix row set and one last row per series and d: put the four numbers beside the matrix
-    joined = O.join_small(second, tail, both, bounded=single)
-
-    def choose(pdf):
-        best = None
-        for d, g in pdf.groupby("d"):
-            m, t = _matrix(g), g.iloc[0]
-            n = m[0, 0]
-            for p, q in product(range(MAX_P + 1), range(MAX_Q + 1)):
-                xs = [0, *range(1, 1 + p), *range(1 + MAX_P, 1 + MAX_P + q)]
-                coef, sse, _ = _solve(m, xs, m.shape[0] - 1)
-                aic = n * np.log(sse / n * t["_s"] ** 2) + 2 * (p + q + 2)
-                if best is None or aic < best[0]:
-                    best = (aic, int(d), p, q, coef, sse / n, t)
-        aic, d, p, q, coef, var, t = best
-        zs, es = [t["y"], *t["zl"]], [t["e"], *t["el"]]
-        phi, theta = coef[1 : 1 + p], coef[1 + p :]
-        out, level, psi = [], t["_y_last"], [1.0]
-        for j in range(1, periods):
-            psi.append((theta[j - 1] if j <= q else 0.0) + sum(phi[i] * psi[j - 1 - i] for i in range(min(p, j))))
-        weight = np.cumsum(psi) if d else np.array(psi)
-        for h in range(periods):
-            nxt = coef[0] + sum(phi[i] * zs[i] for i in range(p)) + sum(theta[i] * es[i] for i in range(q))
-            zs, es = [nxt, *zs], [0.0, *es]
-            value = nxt * t["_s"] + t["_m"]
-            level = level + value if d else value
-            edge = 1.96 * t["_s"] * np.sqrt(var * (weight[: h + 1] ** 2).sum())
-            out.append((h + 1, float(level), float(level - edge), float(level + edge)))
-        res_ = pd.DataFrame(out, columns=["step", "forecast", "lower", "upper"])
-        res_["ar_order"], res_["difference"], res_["ma_order"], res_["aic"] = p, d, q, float(aic)
-        for k in by:
-            res_[k] = pdf[k].iloc[0]
-        return res_[[*by, "step", "forecast", "lower", "upper", "ar_order", "difference", "ma_order", "aic"]]
-
-    spec = spec(s, by, "step int, forecast double, lower double, upper double, ar_order int, difference int, ma_order int, aic double")
-    out = joined.groupBy(*by).applyInPandas(choose, spec)
-    return out.drop("_series") if single else out
-
-
 # ---- lag regression ----------------------------------------------------------
 
 

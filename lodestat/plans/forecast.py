@@ -40,7 +40,7 @@ def _(t):
 
 @query("forecast_arima")
 def _(t):
-    return M.forecast_arima(od(t), [], 10)
+    return M.forecast_arima(od(t), [], 10, 7)
 
 
 @query("forecast_lag_model")

@@ -1,5 +1,7 @@
 """Fitted models, neighbours and streams on small synthetic inputs."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -187,3 +189,51 @@ def test_smooth_does_not_depend_on_chunks(spark, alpha, chunk):
             level = v if level is None else alpha * v + (1 - alpha) * level
             want.append(level)
         assert np.allclose(g.sort_values("pos")["smoothed"], want, rtol=1e-9, atol=1e-9)
+
+
+def seasonal_walk(n, seed=11, ar=0.5, ma=0.4, sma=-0.6, m=12):
+    """(1, 1, 1)(0, 1, 1)m with unit innovations; the differenced part, the series and the innovations."""
+    rng = np.random.default_rng(seed)
+    e = rng.normal(size=n + 200)
+    w = np.zeros(n + 200)
+    for i in range(m + 1, n + 200):
+        w[i] = ar * w[i - 1] + e[i] + ma * e[i - 1] + sma * e[i - m] + ma * sma * e[i - m - 1]
+    y = np.zeros(n + 200)
+    for i in range(m + 1, n + 200):
+        y[i] = w[i] + y[i - 1] + y[i - m] - y[i - m - 1]
+    return y[200:], w[200:], e[200:]
+
+
+@pytest.mark.parametrize("chunk", [400, 65536])
+def test_arima_recovers_a_seasonal_model(spark, chunk):
+    y, w, e = seasonal_walk(3000)
+    got = M.forecast_arima(series(spark, y), [], 24, 12, chunk=chunk).orderBy("step").toPandas()
+    r = got.iloc[0]
+    assert (r["difference"], r["seasonal_difference"]) == (1, 1)
+    assert r["seasonal_ma"] >= 1 and r["ar_order"] + r["ma_order"] >= 1
+    nxt = 0.5 * w[-1] + 0.4 * e[-1] - 0.6 * e[-12] - 0.24 * e[-13] + y[-1] + y[-12] - y[-13]
+    assert r["forecast"] == pytest.approx(nxt, abs=0.35)
+    assert r["upper"] - r["forecast"] == pytest.approx(1.96, rel=0.08)
+    assert (np.diff(got["upper"] - got["lower"]) > 0).all()
+    again = M.forecast_arima(series(spark, y), [], 24, 12).orderBy("step").toPandas()
+    assert np.allclose(got["forecast"], again["forecast"], rtol=1e-6)
+
+
+def test_arima_of_short_constant_and_many_series(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i), float(v)) for k, y in (("flat", np.full(30, 7.0)), ("one", [3.0]), ("few", [1.0, 2.0, 4.0]), ("line", np.arange(60.0) + rng.normal(size=60) * 0.1), (None, rng.normal(size=80))) for i, v in enumerate(y)]
+    s = S.prepare_series(spark.createDataFrame(rows, "k string, t timestamp_ntz, y double"), "t", "y", ["k"])
+    got = M.forecast_arima(s, ["k"], 3, 7).toPandas()
+    assert got.groupby("k", dropna=False).size().tolist() == [3] * 5
+    by = {k: g.sort_values("step")["forecast"].to_numpy() for k, g in got.fillna({"k": "none"}).groupby("k")}
+    assert np.allclose(by["flat"], 7) and np.allclose(by["one"], 3) and np.allclose(by["few"], 7 / 3)
+    assert np.allclose(by["line"], [60, 61, 62], atol=0.6)
+    assert np.abs(by["none"]).max() < 1.5
+    assert M.forecast_arima(s.limit(0), ["k"], 3, 7).count() == 0
+
+
+def test_arima_takes_a_second_difference(spark):
+    y = np.cumsum(np.cumsum(np.random.default_rng(13).normal(size=800)))
+    got = M.forecast_arima(series(spark, y), [], 3).orderBy("step").toPandas()
+    assert got["difference"].iloc[0] == 2
+    assert got["forecast"].iloc[0] == pytest.approx(2 * y[-1] - y[-2], abs=1.0)
