@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import ordering as O
 from lodestat.operators.smoothing import chunk_arrays, keyed, spec
-from lodestat.session import cut_lineage
+from lodestat.session import stored
 
 MAX_P, MAX_D, MAX_Q, MAX_SEASONAL = 5, 2, 5, 2  # fixed values: largest orders
 ADF_5 = -2.86  # fixed value: critical value of the unit-root test with a constant, 5 per cent
@@ -279,7 +279,7 @@ def forecast_arima(s: DataFrame, keys: list[str], periods: int = 10, period: int
     s, by, single = keyed(s, keys)
     stats = s.groupBy(*by).agg(F.avg("y").alias("mean"), F.coalesce(F.stddev_pop("y"), F.lit(0.0)).alias("scale"))
     chunks = chunk_arrays(s, by, max(chunk, reach(period) + 1), reach(period))
-    chunks = cut_lineage(O.join_small(chunks, stats, by, bounded=single))
+    chunks = stored(O.join_small(chunks, stats, by, bounded=single))
     size = max(chunk, reach(period) + 1)
 
     def each(batch: pd.DataFrame) -> Iterator[tuple]:
@@ -316,7 +316,7 @@ def forecast_arima(s: DataFrame, keys: list[str], periods: int = 10, period: int
 
     first = sums(chunks.mapInPandas(products, spec(s, by, cells)))
     long = first.applyInPandas(long_model, spec(s, by, "d int, s int, long array<double>"))
-    ready = O.join_small(chunks, cut_lineage(long), by, bounded=single)
+    ready = O.join_small(chunks, stored(long), by, bounded=single)
 
     def innovations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Cross-products of values and innovations; the last chunk also hands on the series' end, as numbers of matrix -1."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import ordering as O
-from lodestat.session import cut_lineage
+from lodestat.session import stored
 
 
 def chunk_arrays(s: DataFrame, keys: list[str], chunk: int, before: int = 0) -> DataFrame:
@@ -135,7 +135,7 @@ def forecast_holt_winters(s: DataFrame, keys: list[str], periods: int = 10, peri
 
     s, by, single = keyed(s, keys)
     chunk = max(chunk, 2 * period + 1)
-    chunks = cut_lineage(chunk_arrays(s, by, chunk))
+    chunks = stored(chunk_arrays(s, by, chunk))
     points = len(HW_GRID)
     state = spec(s, by, "_chunk long, first long, n_rows long, len long, x array<double>, sse array<double>")
 
@@ -181,7 +181,7 @@ def forecast_holt_winters(s: DataFrame, keys: list[str], periods: int = 10, peri
         return pdf[by].assign(_chunk=pdf["_chunk"] + 1, start=out).iloc[:-1]
 
     long = F.col("n_rows") > chunk
-    begun = cut_lineage(chunks.mapInPandas(once(False), state))
+    begun = stored(chunks.mapInPandas(once(False), state))
     starts = begun.where(long).groupBy(*by).applyInPandas(fold, spec(s, by, "_chunk long, start array<double>"))
     later = O.join_small(chunks.where(F.col("first") > 0), starts, [*by, "_chunk"], bounded=False)
     parts = begun.where("first = 0").unionByName(later.mapInPandas(once(True), state))

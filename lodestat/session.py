@@ -46,3 +46,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder name below the shared folder."""
     return f"{shared_folder(spark)}/lodestat-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back.
+
+    Like :func:`cut_lineage`, but later plans see the size of the files; a checkpoint keeps the estimate of its plan, which grows
+    without bound when rounds of joins build on each other.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

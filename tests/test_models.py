@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestat.operators import correlate as R
 from lodestat.operators import forecast as M
 from lodestat.operators import forest as T
@@ -237,3 +239,20 @@ def test_arima_takes_a_second_difference(spark):
     got = M.forecast_arima(series(spark, y), [], 3).orderBy("step").toPandas()
     assert got["difference"].iloc[0] == 2
     assert got["forecast"].iloc[0] == pytest.approx(2 * y[-1] - y[-2], abs=1.0)
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_nearest_neighbours_over_a_tree_equal_brute_force(spark, block):
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(size=(500, 3)), np.zeros((150, 3)), rng.normal(size=(100, 3)) * 0.01 + 5])  # clusters and equal points
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "x": list(x)}))
+    got = N.knn_join(df, df, 5, exclude_same=True, block=block).toPandas().sort_values(["query", "rank"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), np.round(d, 12)), axis=1)[:, :5]
+    assert (got["id"].to_numpy().reshape(-1, 5) == want).all()
+    if block < 100:
+        tree = N.Tree(df, block)
+        assert len(tree.levels) > 1 and tree.points.count() == len(x)
+        sent = tree.route(df.withColumn("bound", F.lit(0.2)), None)
+        assert sent.count() < 0.5 * len(x) * tree.points.select("cell").distinct().count()
