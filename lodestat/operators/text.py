@@ -233,12 +233,17 @@ def terms_1_2(tokens: Column) -> Column:
     return F.concat(tokens, ngrams(tokens, 2))
 
 
-def term_counts(df: DataFrame, key: list[str], text: str, two: bool = True) -> DataFrame:
-    """``(key..., term, tf)``."""
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"({WORD}{WORD}+)"), F.lit(1))
+def token_column(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """``(key..., _t)``: lower-case words of two or more characters without stop words."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"({WORD}{WORD}+)"), F.lit(1))
     base = C.spread(df.select(*key, text)).select(*key, found.alias("_f"))
     # hash lookup of the stop words instead of one comparison per listed word
-    base = StopWordsRemover(inputCol="_f", outputCol="_t", stopWords=STOPWORDS_ENGLISH, locale="en_US").transform(base)
+    return StopWordsRemover(inputCol="_f", outputCol="_t", stopWords=STOPWORDS_ENGLISH, locale="en_US").transform(base).select(*key, "_t")
+
+
+def term_counts(df: DataFrame, key: list[str], text: str, two: bool = True) -> DataFrame:
+    """``(key..., term, tf)``."""
+    base = token_column(df, key, text)
     terms = terms_1_2(F.col("_t")) if two else F.col("_t")
     return base.select(*key, F.explode(terms).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -297,7 +302,10 @@ def label_shares(df: DataFrame, label: str) -> DataFrame:
 
 
 def lexicon_frame(spark, lexicon: dict[str, float] | None = None) -> DataFrame:
-    return spark.createDataFrame(list((lexicon or SENTIMENT).items()), "word string, score double")
+    """A word list that the driver holds as a frame; up to a million words are broadcast."""
+    words_ = lexicon or SENTIMENT
+    frame = spark.createDataFrame(list(words_.items()), "word string, score double")
+    return F.broadcast(frame) if len(words_) <= 1_000_000 else frame
 
 
 def sentiment(df: DataFrame, key: list[str], text: str, lexicon: DataFrame | None = None, limit: float = 0.05) -> DataFrame:

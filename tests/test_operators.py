@@ -164,3 +164,36 @@ def test_similar_pairs_equal_brute_force(spark):
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if sim[i, j] >= 0.2}
     got = {(r["a"], r["b"]) for r in V.similar_pairs(vectors, "id", 0.2).collect()}
     assert got == want
+
+
+def test_near_duplicates_of_a_term_in_every_document(spark):
+    """Many documents that share one telling term and little else, some of them nearly alike, and copies."""
+    import random
+
+    import numpy as np
+
+    from lodestat.operators import similarity as V
+
+    rnd = random.Random(3)
+    words = ["word%d" % i for i in range(400)]
+    rows = []
+    for i in range(700):
+        rows.append((i, "boilerplate " * 30 + " ".join(rnd.sample(words, 2))))
+    rows += [(1000 + i, rows[i][1] + " " + rnd.choice(words)) for i in range(5)] + [(2000 + i, rows[0][1]) for i in range(4)] + [(3000, ""), (3001, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    vectors = V.tfidf_vectors(df, "id", "text", max_df=1.0).toPandas()
+    names, at = np.unique(vectors["term"], return_inverse=True)
+    ids, row = np.unique(vectors["id"], return_inverse=True)
+    m = np.zeros((len(ids), len(names)))
+    m[row, at] = vectors["w"]
+    sims = m @ m.T
+    for threshold, least in ((0.25, 1000), (0.9, 8)):
+        a, b = np.nonzero(np.triu(sims >= threshold, 1))
+        want = {(ids[x], ids[y]): sims[x, y] for x, y in zip(a, b)}
+        found = V.similar_pairs(V.tfidf_vectors(df, "id", "text", max_df=1.0), "id", threshold).collect()
+        assert len(found) == len(want) >= least
+        assert all(abs(want[r["a"], r["b"]] - r["similarity"]) < 1e-9 for r in found)
+    linked = V.near_duplicates(df, "id", "text", 0.9, max_df=1.0).collect()
+    firsts = {(x, y) for x, y in want if x < 2000 and y < 2000}
+    copies = {(0, 2000 + i) for i in range(4)}
+    assert {(r["a"], r["b"]) for r in linked} == firsts | copies
