@@ -27,6 +27,8 @@ from lodestat.llm.shingles import shingle_sets
 REGISTERS, ROWS = 100, 4
 SPACING, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SEEDS, FACTORS = splitmix(REGISTERS, 17), splitmix(REGISTERS, 19) | np.uint64(1)
+#: Parts of a pivot's shingles that texts are compared by before any text moves.
+PARTS = 256
 #: Log likelihood ratio beyond which a pair can't be alike enough.
 SURE = 25.0
 
@@ -199,11 +201,37 @@ def shareable(texts: DataFrame) -> DataFrame:
     return texts.select("id", "n", "bands").join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"), "bands")
 
 
+def pivot_profiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``p, id, of, within, miss``: a pivot's number of shingles, how many of them a text has, and in which of the parts that their
+    hashes make it lacks one, as bits."""
+    kind = texts.schema["id"].dataType
+    left = texts.select(F.col("id").alias("p"), F.col("body").alias("p_body"))
+    rows = pairs.join(texts.select("id", "body"), "id").join(left, "p").select("p", "id", "body", "p_body")
+    fields = [("p", kind), ("id", kind), ("of", T.LongType()), ("within", T.LongType()), *[(f"miss{i}", T.LongType()) for i in range(PARTS // 64)]]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch, counts, bits = whole.slice(at, 256), [], []
+                for x, y in zip(shingle_sets(*text_bytes(batch.column(2))), shingle_sets(*text_bytes(batch.column(3)))):
+                    gone = np.setdiff1d(y, x, assume_unique=True)
+                    flags = np.zeros(PARTS, np.uint8)
+                    flags[(gone % np.uint64(PARTS)).astype(np.int64)] = 1
+                    counts.append((len(y), len(y) - len(gone)))
+                    bits.append(np.packbits(flags).view(np.int64))
+                columns = [*np.array(counts, np.int64).reshape(-1, 2).T, *np.array(bits, np.int64).reshape(-1, PARTS // 64).T]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in columns]], names=[f for f, _ in fields])
+
+    return rows.mapInArrow(run, schema)
+
+
 def _link(members: DataFrame, texts: DataFrame, percent: int, kind: str) -> DataFrame:
     """Components of the texts that share a cell: first against the pivots of the cells, then what is still apart among each other.
 
-    Of two texts still apart either may share only shingles that others have at all. Edits of one original are mostly their own, so
-    this bound leaves few of the pairs of a large group, inside the join and before any text is moved.
+    Of two texts still apart either may share only shingles that others have at all, and of the cell's pivot at least one less for every
+    part in which one of them lacks any. Edits of one original are mostly their own and at places of their own, so these two bounds leave few
+    of the pairs of a large group, inside the join and before any text is moved.
     """
     spark = members.sparkSession
     best = members.groupBy("cell").agg(F.max(F.struct("degree", "id", "n")).alias("p"))
@@ -218,10 +246,15 @@ def _link(members: DataFrame, texts: DataFrame, percent: int, kind: str) -> Data
     split = materialise(rows.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cell"))
     rows = materialise(rows.join(split, "cell"))
     most = materialise(shareable(texts.join(rows.select("id").distinct(), "id", "left_semi")))
-    rows = materialise(rows.join(most, "id"))
-    other = rows.select("cell", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("most").alias("most_b"), F.col("bands").alias("bands_b"))
-    common = F.least("most", "most_b")
-    possible = (F.col("label") < F.col("other")) & (100 * common >= percent * (F.col("n") + F.col("m") - common))
+    rows = materialise(rows.join(most, "id").join(best.select("cell", F.col("a").alias("p")), "cell"))
+    profiles = materialise(pivot_profiles(materialise(rows.select("p", "id").distinct()), texts))
+    rows = materialise(rows.join(profiles, ["p", "id"]).withColumn("rest", F.col("most") - F.col("within")))
+    miss = [f"miss{i}" for i in range(PARTS // 64)]
+    other = rows.select("cell", *[F.col(c).alias(f"{c}_b") for c in ("n", "label", "most", "bands", "within", "rest", *miss)], F.col("id").alias("b"))
+    lacking = sum((F.bit_count(F.col(c).bitwiseOR(F.col(f"{c}_b"))) for c in miss), F.lit(0))
+    common = F.least("within", "within_b", F.col("of") - lacking) + F.least("rest", "rest_b")
+    common = F.least("most", "most_b", common)
+    possible = (F.col("label") < F.col("label_b")) & ((100 + percent) * common >= percent * (F.col("n") + F.col("n_b")))
     # a pair that shares several cells is made in the first of them only
     shared = F.filter(F.zip_with("bands", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     possible = possible & (F.get(shared, 0) == F.col("cell"))
