@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestat.operators import cluster as I
 from lodestat.operators import features as G
+from lodestat.operators import inspection as X
 from lodestat.operators import supervised as J
 from lodestat.plans.registry import long_sql, query
 from lodestat.session import scratch_folder
@@ -593,6 +594,53 @@ def _(t):
     return J.analyze_importance(rows)
 
 
+SOFT = """(SELECT o_orderkey, [[0.1 + o_custkey % 7 / 10.0, 0.8 - o_custkey % 7 / 10.0, 0.1], [0.2, 0.3 + o_orderkey % 5 / 10.0, 0.5 - o_orderkey % 5 / 10.0],
+    [CASE WHEN o_totalprice > 150000 THEN 0.6 ELSE 0.1 END, 0.3, CASE WHEN o_totalprice > 150000 THEN 0.1 ELSE 0.6 END]] AS p, [1.0, 2.0, 0.5] AS w FROM orders)"""
+
+
+@query(
+    "ensemble_soft_vote",
+    f"""WITH e AS (SELECT o_orderkey, unnest(range(1, 4)) AS m, p, w FROM {SOFT} x),
+        s AS (SELECT o_orderkey, unnest(['F', 'O', 'P']) AS class, unnest([sum(p[m][1]::DOUBLE * w[m]::DOUBLE), sum(p[m][2]::DOUBLE * w[m]::DOUBLE), sum(p[m][3]::DOUBLE * w[m]::DOUBLE)]) / 3.5 AS v FROM e GROUP BY 1)
+        SELECT o_orderkey, arg_max(class, (round(v, 9), -ascii(class))) AS ensemble, max(v) AS confidence, CAST(3 AS BIGINT) AS models FROM s GROUP BY 1""",
+    approx=("confidence",),
+)
+def _(t):
+    a, b = F.col("o_custkey") % 7 / 10, F.col("o_orderkey") % 5 / 10
+    dear_ = F.col("o_totalprice") > 150000
+    rows = [
+        F.array(0.1 + a, 0.8 - a, F.lit(0.1)), F.array(F.lit(0.2), 0.3 + b, 0.5 - b),
+        F.array(F.when(dear_, 0.6).otherwise(0.1), F.lit(0.3), F.when(dear_, 0.1).otherwise(0.6)),
+    ]
+    models = [t.orders.select(*OKEY, F.transform(p, lambda x: F.round(x, 9)).alias("probability")) for p in rows]
+    return X.soft_vote(models, OKEY, ["F", "O", "P"], [1.0, 2.0, 0.5])
+
+
+@query("stacking_classifier")
+def _(t):
+    return X.stacking_classifier(mixed(t), ["l_quantity", "l_discount", "l_extendedprice"], "l_returnflag", KEY, ["logistic", "random_forest"]).select(*KEY, "l_returnflag", "prediction")
+
+
+@query("permutation_importance")
+def _(t):
+    return X.permutation_importance(dear(t), ["l_quantity", "l_discount", "l_tax"], "dear", KEY, "logistic")
+
+
+@query("permutation_importance_regression")
+def _(t):
+    return X.permutation_importance(mixed(t), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", KEY, "linear", "regression")
+
+
+@query("partial_dependence_classes")
+def _(t):
+    return X.partial_dependence_classes(dear(t), ["l_quantity", "l_discount", "l_tax"], "dear", "l_quantity", 20, "logistic")
+
+
+@query("learning_curve_classes")
+def _(t):
+    return X.learning_curve_folds(dear(t), ["l_quantity", "l_discount", "l_tax"], "dear", KEY, "logistic", folds=3, shares=(0.1, 0.3, 0.5, 0.7, 1.0))
+
+
 @query("importance_permutation")
 def _(t):
     return J.importance_permutation(mixed(t), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", KEY, "linear")
