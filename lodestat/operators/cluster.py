@@ -51,7 +51,7 @@ def gaussian_mixture(df: DataFrame, columns: list[str], k: int, seed: int = 42)
 
 
 def hierarchical(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:
-    """k clusters of a divisive hierarchy (the reference builds an agglomerative one)."""
+    """k clusters of a divisive hierarchy; :mod:`lodestat.operators.ward` merges bottom up."""
     data = assembled(df, columns)
     model = BisectingKMeans(k=k, seed=seed, featuresCol="_features").fit(data)
     return _label(model, data).drop("_features")

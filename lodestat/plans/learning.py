@@ -10,6 +10,7 @@ from lodestat.operators import cluster as I
 from lodestat.operators import features as G
 from lodestat.operators import inspection as X
 from lodestat.operators import supervised as J
+from lodestat.operators import ward
 from lodestat.plans.registry import long_sql, query
 from lodestat.session import scratch_folder
 
@@ -236,6 +237,11 @@ def _(t):
 
 
 @query("hierarchical")
+def _(t):
+    return ward.hierarchical(t.customer, C2, 4)
+
+
+@query("hierarchical_divisive")
 def _(t):
     return I.hierarchical(t.customer, C2, 4)
 

@@ -256,3 +256,33 @@ def test_nearest_neighbours_over_a_tree_equal_brute_force(spark, block):
         assert len(tree.levels) > 1 and tree.points.count() == len(x)
         sent = tree.route(df.withColumn("bound", F.lit(0.2)), None)
         assert sent.count() < 0.5 * len(x) * tree.points.select("cell").distinct().count()
+
+
+def brute_ward(x, k):
+    """Merges the two clusters that raise the squared error least, until k are left."""
+    groups = [[i] for i in range(len(x))]
+
+    def cost(a, b):
+        return len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(axis=0) - x[b].mean(axis=0)) ** 2).sum()
+
+    while len(groups) > k:
+        i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+        groups[j] += groups.pop(i)
+    return {frozenset(g) for g in groups}
+
+
+def test_ward_equals_brute_force_and_scales_by_leaves(spark):
+    from lodestat.operators import ward
+
+    rng = np.random.default_rng(31)
+    x = np.concatenate([rng.normal(size=(12, 2)) + c for c in ((0, 0), (4, 0), (0, 5), (9, 9))])
+    x[1] = x[0]  # equal points
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "a": x[:, 0], "b": x[:, 1]}))
+    for k in (1, 3, 4, 7):
+        got = ward.hierarchical(df, ["a", "b"], k, standardize=False).toPandas()
+        assert {frozenset(g) for g in got.groupby("cluster")["id"].apply(list)} == brute_ward(x, k)
+    assert ward.hierarchical(df.limit(0), ["a", "b"], 3).count() == 0
+    big = np.concatenate([rng.normal(size=(1500, 2)) * 0.5 + c for c in ((0, 0), (8, 0), (0, 8))])
+    pdf = pd.DataFrame({"a": big[:, 0], "b": big[:, 1], "true": np.repeat([0, 1, 2], 1500)})
+    got = ward.hierarchical(spark.createDataFrame(pdf), ["a", "b"], 3, leaves=200).toPandas()
+    assert len(got) == 4500 and got.groupby("cluster")["true"].nunique().tolist() == [1, 1, 1]
