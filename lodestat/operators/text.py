@@ -11,6 +11,7 @@ from lodestat.functions import columns as C
 from lodestat.functions import ordering as O
 from lodestat.functions.words import ENTITY_PATTERNS, LANGUAGE_PROFILES, SENTIMENT, STOPWORDS_ENGLISH
 from lodestat.operators.describe import top_values
+from lodestat.session import stored
 
 WORD = r"[\p{L}\p{N}_]"
 
@@ -385,6 +386,43 @@ def entities_dictionary(df: DataFrame, key: list[str], text: str, dictionary: Da
     return hits.select(*key, "label", F.col("phrase").alias("entity"), "token")
 
 
+def _first_longest(starts: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Which spans to take from left to right, each beginning where the one before has ended or later; spans come in order."""
+    out = []
+    for at, size in zip(starts, sizes):
+        keep, end = [], 0
+        for a, n in zip(at, size):
+            keep.append(bool(a >= end))
+            end = a + n if keep[-1] else end
+        out.append(keep)
+    return pd.Series(out)
+
+
+def entities_phrases(df: DataFrame, key: list[str], text: str, dictionary: DataFrame) -> DataFrame:
+    """``(key..., label, entity, token, n_tokens)`` for dictionary phrases of any number of words, leftmost and longest first.
+
+    Words are compared in lower case without punctuation. Spans don't overlap; of several labels of one phrase the first counts.
+    ``dictionary`` has ``phrase`` and ``label``; phrases without words are left out, and so are missing texts. Rows that share a key
+    count as one text only if their spans are in the same place. Only words that begin some phrase are cut into windows, one for each
+    length that phrases have.
+    """
+    entry = words(F.regexp_replace(F.lower("phrase"), PUNCTUATION, " "))
+    known = dictionary.select(entry.alias("_w"), "label").where(F.size("_w") > 0)
+    known = known.groupBy(F.array_join("_w", " ").alias("entity"), F.size("_w").alias("n")).agg(F.min("label").alias("label"))
+    known = stored(known.withColumn("_first", F.substring_index("entity", " ", 1)))
+    heads = known.groupBy("_first").agg(F.collect_set("n").alias("_sizes"))
+    tokens = df.where(F.col(text).isNotNull()).select(*key, words(F.regexp_replace(F.lower(F.col(text)), PUNCTUATION, " ")).alias("_t"))
+    longest = known.agg(F.max("n")).first()[0] or 1
+    places = C.spread(tokens).select(*key, F.inline(F.transform("_t", lambda w, i: F.struct(w.alias("_first"), i.alias("token"), F.slice(F.col("_t"), i + 1, F.lit(longest)).alias("_next")))))
+    begun = places.join(heads, "_first").select(*key, "token", "_next", F.explode("_sizes").alias("n")).where(F.size("_next") >= F.col("n"))
+    spans = begun.select(*key, "token", "n", F.array_join(F.slice("_next", F.lit(1), F.col("n")), " ").alias("entity")).join(known.select("entity", "n", "label"), ["entity", "n"])
+    ordered = F.array_sort(F.collect_list(F.struct("token", (-F.col("n")).alias("_neg"), "n", "label", "entity"))).alias("_s")
+    rows = spans.groupBy(*key).agg(ordered)
+    keep = F.pandas_udf(_first_longest, "array<boolean>")(F.col("_s.token"), F.col("_s.n"))
+    taken = rows.withColumn("_k", keep).select(*key, F.inline(F.filter("_s", lambda x, i: F.get("_k", i))))
+    return taken.select(*key, "label", "entity", "token", F.col("n").alias("n_tokens"))
+
+
 def filter_entities(found: DataFrame, labels: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
     """Entities of the given labels and at least the given confidence; found by rule they have 1.0 where there is no such column."""
     out = found.where(F.col("label").isin(labels)) if labels else found

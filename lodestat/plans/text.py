@@ -396,6 +396,25 @@ def _(t):
     return L.entities_dictionary(t.documents, ["doc_id"], "text", t.spark.createDataFrame(DICT, "phrase string, label string"))
 
 
+PHRASES = [("the", "A"), ("the the", "B"), ("is is is", "C"), ("is is", "B"), ("nd nd nd nd", "D"), ("de de", "B"), ("the and", "E"), ("and", "A"), ("The, and!", "F"), ("...", "G")]
+PHRASE_ROWS = [("the", 1, "A"), ("the the", 2, "B"), ("is is is", 3, "C"), ("is is", 2, "B"), ("nd nd nd nd", 4, "D"), ("de de", 2, "B"), ("the and", 2, "E"), ("and", 1, "A")]
+
+
+@query(
+    "entities_phrases",
+    f"""WITH RECURSIVE d AS (SELECT * FROM (VALUES {", ".join(map(str, PHRASE_ROWS))}) v(entity, n, label)),
+        w AS (SELECT doc_id, {words_sql(sub('lower(text)', PUNCT, ' '))} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        c AS (SELECT doc_id, i - 1 AS token, n, label, entity FROM p JOIN d ON array_to_string(w[i : i + n - 1], ' ') = entity),
+        b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, token ORDER BY n DESC) = 1),
+        s AS (SELECT a.*, (SELECT min(z.token) FROM b z WHERE z.doc_id = a.doc_id AND z.token >= a.token + a.n) AS after FROM b a),
+        r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY token) = 1
+          UNION ALL SELECT s.* FROM r JOIN s ON s.doc_id = r.doc_id AND s.token = r.after)
+        SELECT doc_id, label, entity, CAST(token AS INTEGER) AS token, n AS n_tokens FROM r""",
+)
+def _(t):
+    return L.entities_phrases(t.documents, ["doc_id"], "text", t.spark.createDataFrame(PHRASES, "phrase string, label string"))
+
+
 @query("filter_entities", f"SELECT doc_id, label, entity FROM {ENT} x WHERE label IN ('EMAIL', 'URL')")
 def _(t):
     return L.filter_entities(L.entities(t.documents, ["doc_id"], "text"), ["EMAIL", "URL"]).select("doc_id", "label", "entity")
