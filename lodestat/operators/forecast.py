@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from lodestat.functions import ordering as O
 from lodestat.operators import series as S
 from lodestat.operators.arima import forecast_arima  # noqa: F401
 from lodestat.operators.smoothing import forecast_holt_winters, keyed, spec  # noqa: F401
+from lodestat.session import stored
 
 
 # ---- cross products ----------------------------------------------------------
@@ -57,22 +56,60 @@ def _solve(m: np.ndarray, xs: list[int], y: int):
 
 
 def forecast_lag_model(s: DataFrame, keys: list[str], periods: int = 10, lookback: int = 7) -> DataFrame:
-    """Linear model on earlier values, rolled forward step by step on its own forecasts."""
-    rows = S.lag_matrix(s, keys, lookback).select(*keys, array_to_vector("features").alias("features"), F.col("target").alias("label"))
-    model = LinearRegression(maxIter=50, regParam=1e-6).fit(rows)
-    h, w = O.with_halo(s, keys, lookback)
-    tail = O.drop_halo(h.withColumn("window", F.collect_list("y").over(w.rowsBetween(-(lookback - 1), 0)))).where(F.col("pos") == F.col("n_rows") - 1)
-    coef, icept = F.array(*[F.lit(float(c)) for c in model.coefficients]), F.lit(float(model.intercept))
-    none = F.array().cast("array<double>")
-
-    def roll(acc, _):  # the model is a few numbers, so the roll is one column expression
-        nxt = F.array(F.aggregate(F.zip_with(acc["window"], coef, lambda a, b: a * b), icept, lambda a, b: a + b))
-        return F.struct(F.concat(F.slice(acc["window"], 2, lookback - 1), nxt).alias("window"), F.concat(acc["path"], nxt).alias("path"))
-
-    start = F.struct(F.col("window"), none.alias("path"))
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(periods)), start, roll, lambda acc: acc["path"])
-    full = tail.where(F.size("window") == lookback).select(*keys, path.alias("path"))
-    return full.select(*keys, F.posexplode("path").alias("step", "forecast")).withColumn("step", F.col("step") + 1)
+    """``keys..., step, forecast``: a linear model of each series on its ``lookback`` earlier values, rolled forward on its own forecasts.
+
+    A model is solved from the series' cross-products, centred so that large levels lose no digits; a constant series goes on as it is.
+    A series of at most ``lookback`` + 1 rows has no forecast.
+    """
+    s, by, single = keyed(s, keys)
+    stats = s.groupBy(*by).agg(F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"))
+    z = O.join_small(s, stats, by, bounded=single).withColumn("y", F.when(F.col("_s") > 0, (F.col("y") - F.col("_m")) / F.col("_s")).otherwise(0.0))
+    rows = stored(S.lag_array(z, by, lookback).where(F.col("pos") >= lookback).select(*by, "pos", "lags", "y", "_m", "_s"))
+    g = gram(rows.withColumn("v", F.concat(F.array(F.lit(1.0)), F.col("lags"), F.array("y"))), by, "v")
+    # the last row tells the window to start from
+    last = rows.groupBy(*by).agg(F.max_by(F.struct(F.concat(F.array("y"), F.slice("lags", 1, lookback - 1)).alias("window"), "_m", "_s"), "pos").alias("t"), F.count(F.lit(1)).alias("n"))
+    joined = O.join_small(g, last.where("n > 1").select(*by, "t.*"), by, bounded=single)
+
+    def roll(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, window = _matrix(pdf), list(pdf["window"].iloc[0])
+        coef, _, _ = _solve(m, list(range(lookback + 1)), lookback + 1)
+        out = []
+        for _ in range(periods):
+            window = [float(coef[0] + np.dot(coef[1:], window)), *window[:-1]]
+            out.append(window[0] * pdf["_s"].iloc[0] + pdf["_m"].iloc[0])
+        res = pd.DataFrame({"step": np.arange(1, periods + 1), "forecast": out})
+        for k in by:
+            res[k] = pdf[k].iloc[0]
+        return res[[*by, "step", "forecast"]]
+
+    out = joined.groupBy(*by).applyInPandas(roll, spec(s, by, "step int, forecast double"))
+    return out.drop("_series") if single else out
+
+
+# ---- rolling origins ---------------------------------------------------------
+
+
+def backtest(s: DataFrame, keys: list[str], model, initial: int, period: int, horizon: int) -> DataFrame:
+    """Any forecast scored from rolling origins: ``keys..., cutoff, n, mae, rmse, mape, coverage``.
+
+    ``model(series, keys, periods)`` gives ``keys..., step, forecast`` and may give ``lower`` and ``upper``. Cutoffs are positions
+    ``initial`` - 1 and every ``period`` rows on; each one's rows up to there are a series of their own, so all are fitted side by side. The
+    ``horizon`` rows after a cutoff score it, as far as the series goes; ``coverage`` is missing for a model without bounds.
+    """
+    last = F.floor((F.col("n_rows") - 2 - (initial - 1)) / period)
+    first = F.greatest(F.ceil((F.col("pos") - (initial - 1)) / period), F.lit(0))
+    rows = s.where(last >= first).withColumn("_c", F.explode(F.sequence(first, last))).withColumn("cutoff", F.col("_c") * period + initial - 1).drop("_c")
+    rows = stored(rows.withColumn("n_rows", F.col("cutoff") + 1))
+    by = [*keys, "cutoff"]
+    ahead = model(rows, by, horizon)
+    ahead = ahead.select(*by, (F.col("cutoff") + F.col("step")).alias("pos"), "forecast", *[c for c in ("lower", "upper") if c in ahead.columns])
+    joined = O.join_small(ahead, s.select(*keys, "pos", "y"), [*keys, "pos"], bounded=False)
+    e = F.col("y") - F.col("forecast")
+    inside = F.avg(((F.col("y") >= F.col("lower")) & (F.col("y") <= F.col("upper"))).cast("double")) if "lower" in ahead.columns else F.lit(None).cast("double")
+    return joined.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+        (F.avg(F.abs(e) / F.greatest(F.abs("y"), F.lit(1e-8))) * 100).alias("mape"), inside.alias("coverage"),
+    )
 
 
 # ---- stationarity ------------------------------------------------------------

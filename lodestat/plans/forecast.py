@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestat.operators import forecast as M
 from lodestat.operators import forest as T
+from lodestat.operators import series as S
 from lodestat.plans.registry import query
 from lodestat.plans.series import EV, OD, day, ev, od
 
@@ -48,6 +49,47 @@ def _(t):
     return M.forecast_lag_model(od(t), [], 10, 7)
 
 
+@query("forecast_lag_model_series")
+def _(t):
+    return M.forecast_lag_model(ev(t), ["event_type"], 5, 3)
+
+
+# simple smoothing up to each cutoff, its level held for the horizon
+@query(
+    "backtest_ses",
+    f"""WITH s AS (SELECT * FROM {EV} x), l AS (SELECT event_type, pos, n_rows, list_reduce(list(y) OVER (PARTITION BY event_type ORDER BY pos), lambda a, v: 0.3 * v + 0.7 * a) AS f FROM s),
+        c AS (SELECT event_type, pos AS cutoff, f FROM l WHERE pos >= 9 AND (pos - 9) % 4 = 0 AND pos < n_rows - 1)
+        SELECT event_type, cutoff, count(*) AS n, avg(abs(y - f)) AS mae, sqrt(avg(pow(y - f, 2))) AS rmse, avg(abs(y - f) / greatest(abs(y), 1e-8)) * 100 AS mape,
+          CAST(NULL AS DOUBLE) AS coverage FROM c JOIN s USING (event_type) WHERE pos > cutoff AND pos <= cutoff + 5 GROUP BY 1, 2""",
+    approx=("mae", "rmse", "mape"),
+)
+def _(t):
+    return M.backtest(ev(t), ["event_type"], S.forecast_ses, 10, 4, 5)
+
+
+@query(
+    "backtest_drift",
+    f"""WITH s AS (SELECT * FROM {EV} x), l AS (SELECT event_type, pos AS cutoff, y AS last, first_value(y) OVER (PARTITION BY event_type ORDER BY pos) AS first, n_rows FROM s),
+        c AS (SELECT * FROM l WHERE cutoff >= 9 AND (cutoff - 9) % 4 = 0 AND cutoff < n_rows - 1),
+        e AS (SELECT event_type, cutoff, y, last + (pos - cutoff) * (last - first) / cutoff AS f FROM c JOIN s USING (event_type) WHERE pos > cutoff AND pos <= cutoff + 5)
+        SELECT event_type, cutoff, count(*) AS n, avg(abs(y - f)) AS mae, sqrt(avg(pow(y - f, 2))) AS rmse, avg(abs(y - f) / greatest(abs(y), 1e-8)) * 100 AS mape,
+          CAST(NULL AS DOUBLE) AS coverage FROM e GROUP BY 1, 2""",
+    approx=("mae", "rmse", "mape"),
+)
+def _(t):
+    return M.backtest(ev(t), ["event_type"], S.forecast_drift, 10, 4, 5)
+
+
+@query("backtest_holt_winters")
+def _(t):
+    return M.backtest(ev(t), ["event_type"], lambda s, keys, periods: M.forecast_holt_winters(s, keys, periods, 7), 14, 4, 5)
+
+
+@query("backtest_arima")
+def _(t):
+    return M.backtest(ev(t), ["event_type"], M.forecast_arima, 14, 4, 5)
+
+
 @query("stationarity")
 def _(t):
     return M.stationarity(od(t), [])

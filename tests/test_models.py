@@ -286,3 +286,36 @@ def test_ward_equals_brute_force_and_scales_by_leaves(spark):
     pdf = pd.DataFrame({"a": big[:, 0], "b": big[:, 1], "true": np.repeat([0, 1, 2], 1500)})
     got = ward.hierarchical(spark.createDataFrame(pdf), ["a", "b"], 3, leaves=200).toPandas()
     assert len(got) == 4500 and got.groupby("cluster")["true"].nunique().tolist() == [1, 1, 1]
+
+
+def test_lag_model_is_one_per_series(spark):
+    rng = np.random.default_rng(41)
+    a, b = np.zeros(400), np.full(50, 3.0)
+    for i in range(2, 400):
+        a[i] = 0.5 * a[i - 1] - 0.7 * a[i - 2] + rng.normal()
+    a += 1e4
+    rows = [(k, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i), float(v)) for k, y in (("a", a), ("b", b), (None, [1.0, 2.0])) for i, v in enumerate(y)]
+    s = S.prepare_series(spark.createDataFrame(rows, "k string, t timestamp_ntz, y double"), "t", "y", ["k"])
+    got = M.forecast_lag_model(s, ["k"], 4, 3).toPandas().sort_values(["k", "step"])
+    x = np.column_stack([np.ones(397), a[2:-1], a[1:-2], a[:-3]])
+    coef = np.linalg.lstsq(x, a[3:], rcond=None)[0]
+    w, want = list(a[-1:-4:-1]), []
+    for _ in range(4):
+        w = [coef[0] + np.dot(coef[1:], w), *w[:-1]]
+        want.append(w[0])
+    assert np.allclose(got[got["k"] == "a"]["forecast"], want, rtol=1e-7)
+    assert np.allclose(got[got["k"] == "b"]["forecast"], 3.0) and len(got) == 8
+
+
+def test_backtest_refits_at_every_cutoff(spark):
+    y = np.cumsum(np.random.default_rng(42).normal(size=60)) + 20
+    s = series(spark, y)
+    got = M.backtest(s, [], lambda s_, k, p: M.forecast_holt_winters(s_, k, p, 6), 30, 10, 8).orderBy("cutoff").collect()
+    assert [(r["cutoff"], r["n"]) for r in got] == [(29, 8), (39, 8), (49, 8)]
+    for r in got:
+        f, edge = brute_holt_winters(y[: r["cutoff"] + 1], 6, 8)
+        e = y[r["cutoff"] + 1 : r["cutoff"] + 9] - f
+        assert r["mae"] == pytest.approx(np.abs(e).mean()) and r["coverage"] == pytest.approx((np.abs(e) <= edge).mean())
+    line = M.backtest(s, [], S.forecast_linear, 30, 10, 8).orderBy("cutoff").collect()
+    known = S.backtest_linear(s, [], 30, 10, 8).orderBy("cutoff").collect()
+    assert [r["rmse"] for r in line] == pytest.approx([r["rmse"] for r in known])

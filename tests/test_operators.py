@@ -197,3 +197,16 @@ def test_near_duplicates_of_a_term_in_every_document(spark):
     firsts = {(x, y) for x, y in want if x < 2000 and y < 2000}
     copies = {(0, 2000 + i) for i in range(4)}
     assert {(r["a"], r["b"]) for r in linked} == firsts | copies
+
+
+def test_phrases_are_taken_leftmost_and_longest(spark):
+    from lodestat.operators import text as L
+
+    known = spark.createDataFrame([("New York", "CITY"), ("new york city", "CITY"), ("York", "TOWN"), ("city hall", "PLACE"), ("new york", "STATE"), ("!!", "NONE"), (None, "NONE")], "phrase string, label string")
+    rows = [(1, "In New York City Hall, york; NEW YORK new new york-city"), (2, "city"), (3, None), (4, ""), (5, "york york")]
+    got = L.entities_phrases(spark.createDataFrame(rows, "id long, body string"), ["id"], "body", known).collect()
+    assert sorted((r["id"], r["token"], r["n_tokens"], r["label"], r["entity"]) for r in got) == [
+        (1, 1, 3, "CITY", "new york city"), (1, 5, 1, "TOWN", "york"), (1, 6, 2, "CITY", "new york"), (1, 9, 3, "CITY", "new york city"),
+        (5, 0, 1, "TOWN", "york"), (5, 1, 1, "TOWN", "york"),
+    ]
+    assert L.entities_phrases(spark.createDataFrame(rows, "id long, body string"), ["id"], "body", known.limit(0)).count() == 0
