@@ -86,10 +86,19 @@ def feature_stages(df: DataFrame, columns: list[str], scale: str = "standard") -
 
 
 def prepare_features(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Prepared feature values as an array column beside the input."""
-    model = Pipeline(stages=feature_stages(df, columns)).fit(df)
-    out = model.transform(df).withColumn("prepared", vector_to_array("features"))
-    return out.select(*df.columns, "prepared")
+    """Prepared feature values as an array column beside the input.
+
+    Missing numbers become the median, missing strings the most frequent one of the column, ``unknown`` if it has none.
+    """
+    from lodestat.operators.typing import fill_missing
+
+    strings = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    filled = df.withColumns({f"_own_{c}": F.col(c) for c in strings})
+    if strings:
+        filled = fill_missing(filled, strings, "mode").fillna("unknown", subset=strings)
+    model = Pipeline(stages=feature_stages(filled, columns)).fit(filled)
+    out = model.transform(filled).withColumn("prepared", vector_to_array("features"))
+    return out.select(*[F.col(f"_own_{c}" if c in strings else c).alias(c) for c in df.columns], "prepared")
 
 
 # ---- training ----------------------------------------------------------------

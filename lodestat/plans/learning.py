@@ -365,7 +365,7 @@ def _(t):
 
 @query("tune_random")
 def _(t):
-    return J.tune(mixed(t), ["l_quantity", "l_discount"], "l_linestatus", KEY, "logistic", method="random", iterations=3)
+    return J.tune(mixed(t), ["l_quantity", "l_discount"], "l_linestatus", KEY, "logistic", method="random", iterations=6)
 
 
 SCORES = """(SELECT l_returnflag AS parameter, CAST(l_linenumber AS VARCHAR) AS value, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_score FROM lineitem GROUP BY 1, 2

@@ -186,6 +186,18 @@ for _how in ("mean", "median"):
         return Y.fill_missing(Y.fill_missing(df, ["l_quantity"], how), ["l_returnflag"], "mode")
 
 
+# the most frequent value of a number and of a string column, the smaller of equally frequent ones
+@query(
+    "fill_missing_mode",
+    f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM {LINEITEM_NULLS} y),
+        q AS (SELECT l_quantity AS v FROM x WHERE l_quantity IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+        f AS (SELECT l_returnflag AS v FROM x WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+        SELECT l_orderkey, l_linenumber, coalesce(l_quantity, q.v) AS l_quantity, coalesce(l_returnflag, f.v) AS l_returnflag FROM x, q, f""",
+)
+def _(t):
+    return Y.fill_missing(t.lineitem_nulls.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), ["l_quantity", "l_returnflag"], "mode")
+
+
 @query("fill_missing_constant", fill_sql("-1", "'missing'"))
 def _(t):
     df = t.lineitem_nulls.select(*PICK)
