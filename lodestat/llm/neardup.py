@@ -212,9 +212,14 @@ def pivot_profiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, counts, bits = whole.slice(at, 256), [], []
-                for x, y in zip(shingle_sets(*text_bytes(batch.column(2))), shingle_sets(*text_bytes(batch.column(3)))):
+            for at in range(0, whole.num_rows, 64):
+                batch, counts, bits = whole.slice(at, 64), [], []
+                sets = list(shingle_sets(*text_bytes(batch.column(2))))
+                # rows come by pivot: its set is made once for all of them, and never at the same time as the others'
+                of = batch.column(0).dictionary_encode()
+                first = np.unique(np.asarray(of.indices), return_index=True)[1]
+                pivots = list(shingle_sets(*text_bytes(batch.column(3).take(pa.array(first)))))
+                for x, y in zip(sets, (pivots[i] for i in np.asarray(of.indices))):
                     gone = np.setdiff1d(y, x, assume_unique=True)
                     flags = np.zeros(PARTS, np.uint8)
                     flags[(gone % np.uint64(PARTS)).astype(np.int64)] = 1
