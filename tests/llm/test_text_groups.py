@@ -106,6 +106,36 @@ def test_near_duplicates_of_a_star_need_its_middle(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == {k: v[1] for k, v in want.items()}
 
 
+def test_near_duplicates_apart_from_their_pivot(spark, monkeypatch):
+    """Families of edits that aren't linked to the original but among each other; bounds by pivot leave few of the other pairs."""
+    import random
+
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(160)]
+    rows = [(0, " ".join(base))]
+    for family in range(6):
+        edited = list(base)
+        for at in rnd.sample(range(160), 5):  # too much for a link to the original
+            edited[at] = f"f{family}x{at}"
+        for member in range(5):
+            own = list(edited)
+            own[rnd.randrange(160)] = f"m{family}x{member}"
+            rows.append((len(rows), " ".join(own)))
+    for i in range(60):  # alone
+        own = list(base)
+        for at in rnd.sample(range(160), 5):
+            own[at] = f"a{i}x{at}"
+        rows.append((len(rows), " ".join(own)))
+    want = brute_components(rows, 85)
+    made = []
+    confirm = neardup.confirm
+    monkeypatch.setattr(neardup, "confirm", lambda pairs, *a: (made.append(pairs.count()), confirm(pairs, *a))[1])
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {k: v[1] for k, v in want.items()}
+    assert len({v[1] for v in want.values()}) > 50 and len(made) == 2
+    assert made[1] < 0.15 * len(rows) * (len(rows) - 1) / 2
+
+
 def test_sketches_merge_and_estimate():
     rnd = np.random.default_rng(1)
     pool = rnd.integers(0, 2**63, 4000).astype(np.uint64)
