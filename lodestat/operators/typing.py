@@ -271,22 +271,18 @@ def fill_missing(
     keys = keys or []
     back = strategy == "back_fill"
     pos = O.with_position(df, order_by, keys, "_pos", "_n").withColumn("_chunk", F.floor(F.col("_pos") / chunk))
-    pick = F.first if back else F.last
     at = F.min_by if back else F.max_by
     edge = pos.groupBy(*keys, "_chunk").agg(
         *[at(F.col(c), F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(f"_e_{c}") for c in columns]
     )
-    by_key = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy("_chunk")
-    span = by_key.rowsBetween(1, Window.unboundedFollowing) if back else by_key.rowsBetween(Window.unboundedPreceding, -1)
-    carry = edge.select(*keys, "_chunk", *[pick(f"_e_{c}", ignorenulls=True).over(span).alias(f"_k_{c}") for c in columns])
+    # back filling reads from the end: a frame that grows is summed up row by row, one that shrinks is read anew for each row
+    turn = F.desc if back else F.asc
+    by_key = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy(turn("_chunk"))
+    span = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    carry = edge.select(*keys, "_chunk", *[F.last(f"_e_{c}", ignorenulls=True).over(span).alias(f"_k_{c}") for c in columns])
     joined = O.join_small(pos, carry, [*keys, "_chunk"], bounded=False)
-    inside = Window.partitionBy(*[F.col(k) for k in keys], "_chunk").orderBy("_pos")
-    inside = (
-        inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        if back
-        else inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    filled = {c: F.coalesce(pick(c, ignorenulls=True).over(inside), F.col(f"_k_{c}")) for c in columns}
+    inside = Window.partitionBy(*[F.col(k) for k in keys], "_chunk").orderBy(turn("_pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_k_{c}")) for c in columns}
     return joined.withColumns(filled).select(*df.columns)
 
 
