@@ -377,9 +377,10 @@ def fdr_bh(df: DataFrame, p: str, keys: list[str], alpha: float = 0.05) -> DataF
     pos = O.with_position(df, [p, *keys], None, "_pos", "_n")
     scaled = pos.withColumn("_q", F.col(p) * F.col("_n") / (F.col("_pos") + 1)).withColumn("_chunk", F.floor(F.col("_pos") / O.CHUNK))
     edge = scaled.groupBy("_chunk").agg(F.min("_q").alias("_m"))
-    later = Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    # from the end, so that frames grow: one that shrinks is read anew for each row
+    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = edge.select("_chunk", F.min("_m").over(later).alias("_later"))
-    inside = Window.partitionBy("_chunk").orderBy("_pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = Window.partitionBy("_chunk").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = scaled.join(carry, "_chunk").withColumn("_in", F.min("_q").over(inside))
     adj = F.least(F.lit(1.0), F.col("_in"), F.coalesce("_later", F.col("_in")))
     return joined.withColumn("p_adjusted", adj).select(*df.columns, "p_adjusted", (F.col("p_adjusted") < alpha).alias("significant"))

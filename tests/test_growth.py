@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lodestat.functions import ordering as O
+from lodestat.operators import stats as H
 from lodestat.operators import typing as Y
 
 
@@ -30,3 +32,15 @@ def test_fill_reads_frames_that_grow(spark, strategy, keys):
     want = (held.bfill() if strategy == "back_fill" else held.ffill()).set_axis(by["i"])
     got = out.toPandas().set_index("i").sort_index()["v"]
     np.testing.assert_array_equal(got.to_numpy(float), want.to_numpy(float))
+
+
+def test_fdr_reads_frames_that_grow(spark, monkeypatch):
+    monkeypatch.setattr(O, "CHUNK", 16)
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(300) ** 3, 2)
+    out = H.fdr_bh(spark.createDataFrame(pd.DataFrame({"id": np.arange(300), "p": p})), "p", ["id"])
+    assert not shrinks(out)
+    order = np.argsort(p, kind="stable")
+    want = np.empty(300)
+    want[order] = np.minimum(1, np.minimum.accumulate((p[order] * 300 / np.arange(1, 301))[::-1])[::-1])
+    np.testing.assert_allclose(out.toPandas().sort_values("id")["p_adjusted"], want, rtol=1e-12)
