@@ -5,8 +5,10 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lodestat.functions import ordering as O
+from lodestat.operators import neighbors as N
 from lodestat.operators import stats as H
 from lodestat.operators import typing as Y
 
@@ -44,3 +46,24 @@ def test_fdr_reads_frames_that_grow(spark, monkeypatch):
     want = np.empty(300)
     want[order] = np.minimum(1, np.minimum.accumulate((p[order] * 300 / np.arange(1, 301))[::-1])[::-1])
     np.testing.assert_allclose(out.toPandas().sort_values("id")["p_adjusted"], want, rtol=1e-12)
+
+
+def test_queries_are_sent_on_in_small_groups(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 64))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    near = N.knn_join(points, points, 3, exclude_same=True, block=32)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    got = near.toPandas().sort_values(["query", "rank"])["id"].to_numpy().reshape(300, 3)
+    np.testing.assert_array_equal(got, np.argsort(d, axis=1)[:, :3])
+    tree = N.Tree(points, 32)
+    sizes, plain = [], N.Tree._groups
+
+    def seen(rows, parents, size=N.GROUP):
+        sizes.append(size)
+        return plain(rows, parents, size)
+
+    tree._groups = seen
+    tree.route(points.withColumn("bound", F.lit(float("inf"))), 3)
+    assert sizes and max(sizes) * N.FAN * 64 <= N.SENT
