@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import ordering as O
 from lodestat.operators import neighbors as N
+from lodestat.operators import similarity as V
 from lodestat.operators import stats as H
 from lodestat.operators import typing as Y
 
@@ -67,3 +68,14 @@ def test_queries_are_sent_on_in_small_groups(spark):
     tree._groups = seen
     tree.route(points.withColumn("bound", F.lit(float("inf"))), 3)
     assert sizes and max(sizes) * N.FAN * 64 <= N.SENT
+
+
+def test_query_terms_alone_get_document_frequencies(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red green blue"), (2, "red red yellow"), (3, None), (4, "black white")], "id int, text string")
+    asked = spark.createDataFrame([(7, "yellow red purple"), (8, "purple")], "q int, text string")
+    counted, plain = [], V.vocabulary
+    monkeypatch.setattr(V, "vocabulary", lambda counts, *a: counted.append(counts) or plain(counts, *a))
+    rows = {r["term"]: r["w"] for r in V.query_vectors(docs, "id", "text", asked, "q", "text").collect()}
+    idf = np.log(5 / np.array([3.0, 2.0])) + 1
+    assert rows == pytest.approx({"red": idf[0] / np.hypot(*idf), "yellow": idf[1] / np.hypot(*idf)}, rel=1e-12)
+    assert {r["term"] for r in counted[0].collect()} == {"red", "yellow"}
