@@ -79,3 +79,12 @@ def test_query_terms_alone_get_document_frequencies(spark, monkeypatch):
     idf = np.log(5 / np.array([3.0, 2.0])) + 1
     assert rows == pytest.approx({"red": idf[0] / np.hypot(*idf), "yellow": idf[1] / np.hypot(*idf)}, rel=1e-12)
     assert {r["term"] for r in counted[0].collect()} == {"red", "yellow"}
+
+
+def test_nmf_hands_numbers_to_the_factors(spark, monkeypatch):
+    rows = [(i, "red green blue" if i % 2 else "bread milk cheese") for i in range(12)]
+    written, plain = [], V.stored
+    monkeypatch.setattr(V, "stored", lambda df: written.append(df.columns) or plain(df))
+    topics, mix = V.topics_nmf(spark.createDataFrame(rows, "id int, text string"), "id", "text", 2, 3)
+    assert mix.count() == 12 and topics.select("topic").distinct().count() == 2
+    assert ["id", "term", "w"] in written and ["doc_id_", "term_id", "w"] in written
