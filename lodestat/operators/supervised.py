@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from lodestat.functions import columns as C
 from lodestat.functions import ordering as O
 from lodestat.operators import describe as D
+from lodestat.session import stored
 
 SEED = 42
 
@@ -43,8 +44,9 @@ def detect_task(df: DataFrame, target: str) -> DataFrame:
     return one.select(F.when(classes, "classification").otherwise("regression").alias("task"), "n_distinct", "n_rows")
 
 
-def hash_order(key: list[str], seed: int = SEED) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+def hash_order(key: list[str], seed: int | Column = SEED) -> Column:
+    mark = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("|", mark, *[F.col(k).cast("string") for k in key]))
 
 
 def split_train_test(
@@ -514,21 +516,27 @@ def importance_permutation(
     """Drop of r2 when one column is shuffled.
 
     A shuffle pairs the i-th row by key with the i-th row in hash order: a
-    join on positions, not a driver permutation.
+    join on positions, not a driver permutation. All repeats are ordered at
+    once, and all columns moved and scored in the same pass.
     """
     model = fit_regressor(df, columns, target, name)
-    data = with_label(df, target, None).select(*key, *columns, "label")
-    judge = RegressionEvaluator(metricName="r2")
-    base_rows = O.with_position(data, key, None, "_pos", None).cache()
-    base = judge.evaluate(model.transform(base_rows))
-    rows = []
-    for r in range(repeats):
-        order = O.with_position(data.withColumn("_h", hash_order(key, seed + r)), ["_h", *key], None, "_pos", None).cache()
-        for c in columns:
-            moved = base_rows.drop(c).join(order.select("_pos", c), "_pos")
-            rows.append((c, r, float(base - judge.evaluate(model.transform(moved)))))
-        order.unpersist()
-    base_rows.unpersist()
+    data = stored(with_label(df, target, None).select(*key, *columns, "label"))
+    base_rows = stored(O.with_position(data, key, None, "_pos", None).select("_pos", *columns, "label"))
+
+    def r2(moved: DataFrame) -> dict[tuple[int, int], float]:
+        e = F.col("label") - F.col("prediction")
+        sums = model.transform(moved).groupBy("_r", "_c").agg(F.sum(e * e).alias("err"), (F.var_pop("label") * F.count("label")).alias("tot"))
+        with np.errstate(divide="ignore", invalid="ignore"):  # a constant label has no r2, as in MLlib's evaluator
+            # one row per repeat and column
+            return {(g["_r"], g["_c"]): float(1 - np.float64(g["err"]) / np.float64(g["tot"])) for g in sums.collect()}
+
+    base = r2(base_rows.withColumns({"_r": F.lit(-1), "_c": F.lit(-1)}))[-1, -1]
+    again = data.drop("label").withColumn("_r", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+    order = O.with_position(again.withColumn("_h", hash_order(key, F.col("_r") + seed)), ["_h", *key], ["_r"], "_pos", None)
+    both = base_rows.join(order.select("_r", "_pos", *[F.col(c).alias(f"_m_{c}") for c in columns]), "_pos")
+    each = [F.struct(F.lit(i).alias("_c"), *[F.col(f"_m_{x}" if x == c else x).alias(x) for x in columns]) for i, c in enumerate(columns)]
+    got = r2(both.select("_r", "label", F.inline(F.array(*each))))
+    rows = [(columns[i], r, base - score) for (r, i), score in got.items()]
     out = df.sparkSession.createDataFrame(rows, "column_name string, repeat int, drop double")
     return out.groupBy("column_name").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
 

@@ -11,6 +11,7 @@ from lodestat.functions import ordering as O
 from lodestat.operators import neighbors as N
 from lodestat.operators import similarity as V
 from lodestat.operators import stats as H
+from lodestat.operators import supervised as J
 from lodestat.operators import typing as Y
 
 
@@ -49,6 +50,38 @@ def test_fdr_reads_frames_that_grow(spark, monkeypatch):
     np.testing.assert_allclose(out.toPandas().sort_values("id")["p_adjusted"], want, rtol=1e-12)
 
 
+def test_importance_scores_all_shuffles_in_one_pass(spark, monkeypatch):
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"id": np.arange(200), "a": rng.normal(size=200), "b": rng.normal(size=200)})
+    pdf["y"] = 2 * pdf["a"] - pdf["b"] + rng.normal(size=200) * 0.1
+    passes, fit = [], J.fit_regressor
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def transform(self, rows):
+            passes.append(1)
+            return self.model.transform(rows)
+
+    monkeypatch.setattr(J, "fit_regressor", lambda *a: Counted(fit(*a)))
+    out = J.importance_permutation(spark.createDataFrame(pdf), ["a", "b"], "y", ["id"], "linear", repeats=3).toPandas().set_index("column_name")
+    assert len(passes) == 2
+    line = np.linalg.lstsq(np.column_stack([pdf["a"], pdf["b"], np.ones(200)]), pdf["y"], rcond=None)[0]
+
+    def r2(a, b):
+        return 1 - ((pdf["y"] - (line[0] * a + line[1] * b + line[2])) ** 2).sum() / ((pdf["y"] - pdf["y"].mean()) ** 2).sum()
+
+    drops = []
+    for r in range(3):
+        order = np.argsort([hashlib.md5(f"{J.SEED + r}|{i}".encode()).hexdigest() for i in range(200)])
+        drops.append(r2(pdf["a"], pdf["b"]) - r2(pdf["a"].to_numpy()[order], pdf["b"]))
+    assert out.loc["a", "importance"] == pytest.approx(np.mean(drops), rel=1e-3)
+    assert out.loc["a", "std"] == pytest.approx(np.std(drops), rel=1e-2)
+
+
 def test_queries_are_sent_on_in_small_groups(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 64))
