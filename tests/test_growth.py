@@ -1,5 +1,6 @@
 """Work that must grow with the rows, not with their square: plans, and results on rows that span several chunks."""
 
+import collections
 import re
 
 import numpy as np
@@ -12,6 +13,7 @@ from lodestat.operators import neighbors as N
 from lodestat.operators import similarity as V
 from lodestat.operators import stats as H
 from lodestat.operators import supervised as J
+from lodestat.operators import text as L
 from lodestat.operators import typing as Y
 
 
@@ -121,3 +123,34 @@ def test_nmf_hands_numbers_to_the_factors(spark, monkeypatch):
     topics, mix = V.topics_nmf(spark.createDataFrame(rows, "id int, text string"), "id", "text", 2, 3)
     assert mix.count() == 12 and topics.select("topic").distinct().count() == 2
     assert ["id", "term", "w"] in written and ["doc_id_", "term_id", "w"] in written
+
+
+def brute_terms(texts):
+    """Counts of the one- and two-word terms per text."""
+    out = []
+    for text in texts:
+        words = [w for w in re.findall(r"\w\w+", text.lower()) if w not in L.STOPWORDS_ENGLISH]
+        out.append(collections.Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
+    return out
+
+
+@pytest.mark.parametrize("label", [None, "g"])
+@pytest.mark.parametrize("counters", [3, 64, 1 << 16])
+def test_keywords_count_only_frequent_terms_by_document(spark, monkeypatch, label, counters):
+    monkeypatch.setattr(L, "TERM_COUNTERS", counters)
+    monkeypatch.setattr(L, "WIDE", 1)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(w)}x" for w in rng.zipf(1.4, 30) % 60) for _ in range(40)]
+    rows = [(i, "ab"[i % 2] if i % 7 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, g string, text string")
+    got = L.keywords(df, ["id"], "text", 5, "count", label)
+    # the answer comes from written counts of few terms, not from a grouping of all of them by document
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = set()
+    for g in {r[1] for r in rows} if label else {0}:
+        docs = brute_terms([t for _, k, t in rows if not label or k == g])
+        total = sum(docs, collections.Counter())
+        for term in sorted(total, key=lambda t: (-total[t], t))[:5]:
+            want.add((*([g] if label else []), term, float(total[term]), sum(term in d for d in docs)))
+    assert {tuple(r) for r in got.collect()} == want
+    assert got.count() == len(want)
