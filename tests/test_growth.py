@@ -154,3 +154,11 @@ def test_keywords_count_only_frequent_terms_by_document(spark, monkeypatch, labe
             want.add((*([g] if label else []), term, float(total[term]), sum(term in d for d in docs)))
     assert {tuple(r) for r in got.collect()} == want
     assert got.count() == len(want)
+
+
+def test_common_words_move_once(spark):
+    rows = [(1, "b a the a c"), (1, "c c b"), (2, None), (None, "z k k"), (3, "the"), (None, "z z q")]
+    out = L.common_words(spark.createDataFrame(rows, "id int, text string"), ["id"], "text", 2)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {tuple(r) for r in out.select("id", "word", "cnt", "rank").collect()}
+    assert got == {(1, "c", 3, 1), (1, "b", 2, 2), (None, "z", 3, 1), (None, "k", 2, 2)}
