@@ -162,3 +162,15 @@ def test_common_words_move_once(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     got = {tuple(r) for r in out.select("id", "word", "cnt", "rank").collect()}
     assert got == {(1, "c", 3, 1), (1, "b", 2, 2), (None, "z", 3, 1), (None, "k", 2, 2)}
+
+
+def test_vectors_of_some_documents(spark):
+    texts = ["red fox runs", "red fox sleeps", "blue whale swims", "red whale", None, "fox fox fox whale"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, "red fox again"), (None, "red moon")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    for kwargs in ({}, {"min_df": 2, "max_df": 0.6}, {"max_features": 4}):
+        whole = V.tfidf_vectors(df, "id", "text", **kwargs).where(F.col("id").isin([1, 3]))
+        some = V.tfidf_vectors(df, "id", "text", only=[1, 3], **kwargs)
+        want, got = ({(r["id"], r["term"]): r["w"] for r in x.collect()} for x in (whole, some))
+        assert want.keys() == got.keys() and got
+        np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-12)
