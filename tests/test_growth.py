@@ -174,3 +174,13 @@ def test_vectors_of_some_documents(spark):
         want, got = ({(r["id"], r["term"]): r["w"] for r in x.collect()} for x in (whole, some))
         assert want.keys() == got.keys() and got
         np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-12)
+
+
+def test_fits_read_written_counts(spark):
+    texts = ["red fox runs", "red fox sleeps", None, "blue whale", "the blue whale and the fox", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    model, counts = V._counted(df, "id", "text", None)
+    # a round of a fit reads vectors, not texts
+    assert "regexp" not in counts._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r["id"]: {model.vocabulary[i]: v for i, v in zip(r["features"].indices, r["features"].values)} for r in counts.collect()}
+    assert got == {0: {"red": 1, "fox": 1}, 1: {"red": 1, "fox": 1}, 2: {}, 3: {"blue": 1, "whale": 1}, 4: {"blue": 1, "whale": 1, "fox": 1}, 5: {}}
