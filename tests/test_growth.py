@@ -6,9 +6,11 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lodestat.functions import ordering as O
+from lodestat.operators import inspection as X
 from lodestat.operators import neighbors as N
 from lodestat.operators import similarity as V
 from lodestat.operators import stats as H
@@ -184,3 +186,34 @@ def test_fits_read_written_counts(spark):
     assert "regexp" not in counts._jdf.queryExecution().optimizedPlan().toString().lower()
     got = {r["id"]: {model.vocabulary[i]: v for i, v in zip(r["features"].indices, r["features"].values)} for r in counts.collect()}
     assert got == {0: {"red": 1, "fox": 1}, 1: {"red": 1, "fox": 1}, 2: {}, 3: {"blue": 1, "whale": 1}, 4: {"blue": 1, "whale": 1, "fox": 1}, 5: {}}
+
+
+def test_partial_dependence_scores_distinct_rows(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"id": np.arange(300), "a": rng.normal(size=300), "b": rng.integers(0, 4, 300).astype(float)})
+    pdf["y"] = pdf["a"] + 3 * pdf["b"] + rng.normal(size=300) * 0.1
+    pdf["kind"] = (pdf["y"] > 4).astype(int)
+    scored = []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def transform(self, rows):
+            scored.append(rows.count())
+            return self.model.transform(rows)
+
+    fit, fit_class = J.fit_regressor, J.fit_classifier
+    kept = {}
+    monkeypatch.setattr(J, "fit_regressor", lambda *a: Counted(kept.setdefault("r", fit(*a))))
+    monkeypatch.setattr(J, "fit_classifier", lambda *a: (lambda m: (Counted(kept.setdefault("c", m[0])), m[1]))(fit_class(*a)))
+    df = spark.createDataFrame(pdf)
+    got = J.partial_dependence(df, ["a", "b"], "y", "a", 5, "random_forest").toPandas().sort_values("a")
+    classes = X.partial_dependence_classes(df, ["a", "b"], "kind", "a", 5, "logistic").toPandas().sort_values(["a", "class"])
+    assert scored == [4 * 5, 4 * 5]  # distinct values of b on a grid of five
+    whole = df.drop("a").withColumn("a", F.explode(F.array(*[F.lit(float(v)) for v in got["a"]])))
+    want = kept["r"].transform(whole).groupBy("a").agg(F.avg("prediction").alias("m"), F.stddev_pop("prediction").alias("s")).toPandas().sort_values("a")
+    np.testing.assert_allclose(got[["mean_prediction", "std"]], want[["m", "s"]], rtol=1e-9)
+    p = kept["c"].transform(whole).select("a", F.posexplode(vector_to_array("probability")).alias("k", "p"))
+    want = p.groupBy("a", "k").agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("s")).toPandas().sort_values(["a", "k"])
+    np.testing.assert_allclose(classes[["mean_probability", "std"]], want[["m", "s"]], rtol=1e-9)
