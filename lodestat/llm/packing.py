@@ -62,10 +62,10 @@ class Encoder(dict):
             return bytes(code[c] for c in name.removesuffix("</w>")) + (SUFFIX if name.endswith("</w>") else b"")
 
         ranks: dict[bytes, int] = {}
-        self.ids: list[int] = []
+        self.ids: list[bytes] = []
         for name in names:
             ranks.setdefault(body(name) if name != letter[255] else SUFFIX, len(self.ids))
-            self.ids.append(vocab[name])
+            self.ids.append(np.array(vocab[name], dtype=self.kind).tobytes())
         # every byte must have a rank; one that repeats the end mark is never met in UTF-8
         self.fast = tiktoken.Encoding("chunks", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
 
@@ -73,8 +73,9 @@ class Encoder(dict):
         if len(self) >= MAX_WORDS:
             self.clear()
         ids, piece = self.ids, self.fast._encode_single_piece
-        found = [ids[r] for w in SPLIT.findall(chunk) for r in piece(w.encode() + SUFFIX)]
-        made = self[chunk] = np.array(found, dtype=self.kind).tobytes()
+        # ASCII letters alone, most chunks, are one word
+        words = (chunk,) if chunk.isascii() and chunk.isalpha() else SPLIT.findall(chunk)
+        made = self[chunk] = b"".join([ids[r] for w in words for r in piece(w.encode() + SUFFIX)])
         return made
 
     def encode(self, text: str) -> bytes:
@@ -110,7 +111,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str, text: str, end: int = 1) -
                 part = batch.slice(at, 1024)
                 made = [known.encode(t) + tail for t in text_values(part.column(1))]
                 for ids in made:
-                    counts[np.unique(np.frombuffer(ids, known.kind))] += 1
+                    counts[np.frombuffer(ids, known.kind)] += 1  # an index that repeats adds once
                 n += len(made)
                 yield batch_of(part.column(0), made, [None] * len(made), [None] * len(made))
         used = np.flatnonzero(counts)
@@ -130,7 +131,10 @@ def id_code(path: str) -> str:
 
 def weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of a document and their BM25 weights."""
-    terms, tf = np.unique(ids, return_counts=True)
+    # as np.unique with counts; sixteen-bit ids are sorted by digits
+    ordered = np.sort(ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ordered[1:] != ordered[:-1]]))
+    terms, tf = ordered[starts], np.diff(starts, append=len(ids))
     return terms, idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
 
 
@@ -141,16 +145,22 @@ class Shard:
         self.docs = docs
         pairs = [weights(d, idf, mean) for d in docs]
         self.starts = np.cumsum([0, *[len(t) for t, _ in pairs]])
-        known, self.terms = np.unique(np.concatenate([t for t, _ in pairs]), return_inverse=True)
+        terms = np.concatenate([t for t, _ in pairs])
+        held = np.zeros(len(idf), bool)
+        held[terms] = True
+        self.terms = (np.cumsum(held) - 1)[terms]  # numbers from 0, in the order of the ids
         self.scores = np.concatenate([w for _, w in pairs])
-        self.asked = np.zeros(len(known))
+        self.asked = np.zeros(held.sum())
+        self.found = np.empty(len(self.terms))
         self.free = np.ones(len(docs), bool)
 
     def neighbours(self, seed: int) -> list[int]:
         """Unused documents, best BM25 score first; those without a common term follow in order."""
         query = self.terms[self.starts[seed] : self.starts[seed + 1]]
         self.asked[query] = 1.0
-        score = np.add.reduceat(self.asked[self.terms] * self.scores, self.starts[:-1])
+        np.take(self.asked, self.terms, out=self.found, mode="clip")
+        self.found *= self.scores
+        score = np.add.reduceat(self.found, self.starts[:-1])
         self.asked[query] = 0.0
         unused = np.flatnonzero(self.free)
         if len(unused) > ASKED:

@@ -320,3 +320,25 @@ def test_classifier(spark, no_docs):
     assert quality.keep_good(docs, model).count() == sum(r["predicted"] for r in found.values())
     empty = quality.fit_labels(no_docs, labels.limit(0))
     assert quality.score(odd, empty).count() == 4
+
+
+def test_packing_weights_and_numbers_equal_unique():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 40_000, n).astype(np.uint16) for n in (1, 2, 50, 900)] + [np.full(9, 7, np.uint16)]
+    idf = rng.random(40_000)
+    for d in docs:
+        terms, w = packing.weights(d, idf, 200.0)
+        want, tf = np.unique(d, return_counts=True)
+        part = idf[want] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / 200.0))
+        assert terms.dtype == d.dtype and terms.tolist() == want.tolist() and w.tolist() == part.tolist()
+    shard = packing.Shard(docs, idf, 200.0)
+    assert shard.terms.tolist() == np.unique(np.concatenate([np.unique(d) for d in docs]), return_inverse=True)[1].tolist()
+
+
+def test_packing_encodes_a_word_of_letters_without_the_pattern(monkeypatch):
+    known = packing.Encoder(str(tokenizer("word_bpe_49k.json")))
+    texts = ["Words of LETTERS only", "it's 12 new-words, ça va", "", "a \x1c b\tc\nd"]
+    assert [np.frombuffer(known.encode(t), known.kind).tolist() for t in texts] == [known.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    known.clear()
+    monkeypatch.setattr(packing, "SPLIT", None)
+    assert len(np.frombuffer(known.encode("plain words alone"), known.kind)) > 2
