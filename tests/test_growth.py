@@ -217,3 +217,37 @@ def test_partial_dependence_scores_distinct_rows(spark, monkeypatch):
     p = kept["c"].transform(whole).select("a", F.posexplode(vector_to_array("probability")).alias("k", "p"))
     want = p.groupBy("a", "k").agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("s")).toPandas().sort_values(["a", "k"])
     np.testing.assert_allclose(classes[["mean_probability", "std"]], want[["m", "s"]], rtol=1e-9)
+
+
+def test_dbscan_of_few_columns_compares_cells_not_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    # crowded cells, two strips just out of reach of each other, loose points, and an id with rows in two places
+    strips = [np.column_stack([rng.uniform(4, 6, 60), rng.uniform(0, 0.1, 60) + y]) for y in (0.0, 0.41)]
+    # and two cells linked by inner points, none of their outermost
+    cells = [[0.2, 0], [0, 0.1], [0.1, 0.2], [0.19, 0.1], [0.1, 0.1], [0.43, 0.2], [0.62, 0.1], [0.53, 0.01], [0.44, 0.1], [0.53, 0.1]]
+    x = np.vstack([rng.normal(0, 0.05, (60, 2)), rng.normal(1, 0.4, (60, 2)), *strips, rng.uniform(-2, 3, (30, 2)), np.array(cells) + 21.2137])
+    ids = np.arange(len(x))
+    ids[5] = 200
+    rows = [(int(i), *map(float, p)) for i, p in zip(ids, x)] + [(None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    monkeypatch.setattr(N, "Tree", None)
+    got = N.dbscan(df, "id", ["a", "b"], 0.3, 5, standardize=False, block=16).collect()
+    x = np.vstack([x, [0.0, 0.0]])
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 0.3
+    each = collections.Counter()
+    for i, c in zip(ids, near.sum(axis=1)):
+        each[int(i)] += int(c)
+    core = np.array([each[int(i)] >= 5 for i in ids] + [False])
+    ids = np.append(ids, -1)
+    label = {int(i): int(i) for i in ids[core]}
+    while True:
+        new = {i: min([label[int(k)] for j in np.flatnonzero(ids == i) for k in ids[near[j] & core]] + [label[i]]) for i in label}
+        if new == label:
+            break
+        label = new
+    for i in set(ids[~core].tolist()) - {-1}:
+        hit = [label[int(k)] for j in np.flatnonzero(ids == i) for k in ids[near[j] & core]]
+        label[i] = min(hit, default=-1)
+    want = collections.Counter((int(i), label[int(i)], bool(c)) for i, c in zip(ids[:-1], core)) + collections.Counter([(None, -1, False)])
+    assert collections.Counter(map(tuple, got)) == want
+    assert set(label.values()) == {-1, 0, 61, 120, 270}
