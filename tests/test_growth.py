@@ -251,3 +251,42 @@ def test_dbscan_of_few_columns_compares_cells_not_blocks(spark, monkeypatch):
     want = collections.Counter((int(i), label[int(i)], bool(c)) for i, c in zip(ids[:-1], core)) + collections.Counter([(None, -1, False)])
     assert collections.Counter(map(tuple, got)) == want
     assert set(label.values()) == {-1, 0, 61, 120, 270}
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_permutation_importance_scores_equal_rows_once(spark, monkeypatch, task):
+    rng = np.random.default_rng(5)
+    x = pd.DataFrame({"id": range(600), "a": rng.integers(0, 4, 600), "b": rng.integers(0, 3, 600), "s": rng.choice(["u", "v"], 600)})
+    rows = [(int(i), None if i % 50 == 0 else float(a), int(b), s, float(a + b + (i % 2))) for i, a, b, s in x.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "id int, a double, b int, s string, y double")
+    df = df.withColumn("y", (F.col("y") > 2).cast("int")) if task == "classification" else df
+    fit, scored = X._fit, []
+
+    class Watched:
+        def __init__(self, model):
+            self.model = model
+
+        def transform(self, d):
+            scored.append(d.toPandas())
+            return self.model.transform(d)
+
+    def watched(*args):
+        model, classes = fit(*args)
+        return Watched(model), classes
+
+    monkeypatch.setattr(X, "_fit", watched)
+    name = "logistic" if task == "classification" else "linear"
+    got = {r["column_name"]: r for r in X.permutation_importance(df, ["a", "b", "s"], "y", ["id"], name, task, repeats=3).collect()}
+    assert len(scored[0]) < 10 * 600 / 2
+    # every shuffle still holds all rows, and the metric of each is that of the rows one by one
+    model, classes = fit(df, ["a", "b", "s"], "y", name, task)
+    assert (scored[0].groupby(["_c", "_r"])["_n"].sum() == 600).all()
+    each = scored[0].loc[scored[0].index.repeat(scored[0]["_n"])]
+    assert {c: each[each["_c"] == 0][c].isna().sum() for c in "ab"} == {"a": 3 * 12, "b": 0}
+    out = model.transform(spark.createDataFrame(each.astype(object).where(each.notna(), None), "a double, b int, s string, label double, _n long, _c int, _r int"))
+    want = out.groupBy("_c", "_r").agg(X._score(task).alias("v")).toPandas().set_index(["_c", "_r"])["v"]
+    base = want[-1, 0]
+    for i, c in enumerate("abs"):
+        drops = base - want[i]
+        assert got[c]["base_score"] == pytest.approx(base, abs=1e-12)
+        assert got[c]["importance"] == pytest.approx(drops.mean(), abs=1e-12) and got[c]["std"] == pytest.approx(drops.std(ddof=0), abs=1e-12)
