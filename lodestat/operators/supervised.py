@@ -205,14 +205,21 @@ def train_regressor(df: DataFrame, columns: list[str], target: str, key: list[st
     fit_on, score_on = _prepared(train, test, columns, "standard")
     rows = []
     for name in names:
-        scored = regressor(name).fit(fit_on).transform(score_on)
-        judge = {m: RegressionEvaluator(metricName=m).evaluate(scored) for m in ("r2", "mse", "rmse", "mae", "var")}
-        rows.append((name, *[float(v) for v in judge.values()]))
+        rows.append((name, *regression_scores(regressor(name).fit(fit_on).transform(score_on)).first()))
     fit_on.unpersist()
     score_on.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, r2 double, mse double, rmse double, mae double, explained_variance double")
 
 
+def regression_scores(scored: DataFrame) -> DataFrame:
+    """One row ``(r2, mse, rmse, mae, var)`` as MLlib's evaluator defines them, all from one pass over ``label`` and ``prediction``."""
+    y, p = F.col("label"), F.col("prediction")
+    mse, gap = F.avg((y - p) * (y - p)), F.avg(p) - F.avg(y)
+    # in double arithmetic, so that a constant label gives what the evaluator gives
+    r2 = 1 - F.coalesce(F.try_divide(mse, F.var_pop(y)), F.when(mse > 0, float("inf")).otherwise(float("nan")))
+    return scored.agg(r2.alias("r2"), mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(y - p)).alias("mae"), (F.var_pop(p) + gap * gap).alias("var"))
+
+
 def linear_coefficients(df: DataFrame, x: str, y: str) -> DataFrame:
     """One-feature least squares in closed form."""
     return df.agg(F.regr_slope(C.number(df, y), C.number(df, x)).alias("slope"), F.regr_intercept(C.number(df, y), C.number(df, x)).alias("intercept"))

@@ -290,3 +290,30 @@ def test_permutation_importance_scores_equal_rows_once(spark, monkeypatch, task)
         drops = base - want[i]
         assert got[c]["base_score"] == pytest.approx(base, abs=1e-12)
         assert got[c]["importance"] == pytest.approx(drops.mean(), abs=1e-12) and got[c]["std"] == pytest.approx(drops.std(ddof=0), abs=1e-12)
+
+
+def learnt(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), float(b), float(2 * a + b + e)) for i, (a, b, e) in enumerate(rng.normal(size=(400, 3)))]
+    return spark.createDataFrame([*rows, (400, 1.0, None, 2.0), (401, 1.0, 1.0, None), (3, 0.5, 0.5, 1.0), (None, 0.1, 0.2, 0.3)], "id int, a double, b double, y double")
+
+
+def test_train_regressor_reads_the_scored_rows_once(spark, monkeypatch):
+    df = learnt(spark)
+    train, test = J.parts(J.with_label(df, "y", None), ["id"])
+    ready = J._prepared(train, test, ["a", "b"], "standard")
+    scored = J.regressor("linear").fit(ready[0]).transform(ready[1])
+    want = [J.RegressionEvaluator(metricName=m).evaluate(scored) for m in ("r2", "mse", "rmse", "mae", "var")]
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a pass for each metric")
+
+    monkeypatch.setattr(J.RegressionEvaluator, "evaluate", refuse)
+    got = J.train_regressor(df, ["a", "b"], "y", ["id"], ["linear", "ridge"]).collect()
+    assert [r["model"] for r in got] == ["linear", "ridge"] and list(got[0][1:]) == pytest.approx(want, rel=1e-9)
+
+
+def test_regression_scores_of_a_constant_label(spark):
+    for p, r2 in ((1.0, float("nan")), (2.0, float("-inf"))):
+        got = J.regression_scores(spark.createDataFrame([(1.0, p)] * 3, "label double, prediction double")).first()
+        assert got["r2"] == pytest.approx(r2, nan_ok=True) and got["mse"] == (p - 1) ** 2
