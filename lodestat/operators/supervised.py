@@ -467,17 +467,25 @@ def ensemble_weighted(predictions: list[DataFrame], weights: list[float], key: l
 
 
 def ensemble_stacking(df: DataFrame, columns: list[str], target: str, key: list[str], names: list[str], folds: int = 3) -> DataFrame:
-    """Linear meta-model on out-of-fold predictions; rows with every base and the final prediction."""
-    data = df.withColumn("_fold", C.key_bucket(key, folds, SEED + 1))
+    """Linear meta-model on out-of-fold predictions; rows with every base and the final prediction.
+
+    The features are prepared once per fold; the out-of-fold predictions are written, so that the meta-model doesn't score them anew.
+    """
+    data = with_label(df, target, None).select(*dict.fromkeys([*key, target, *columns]), "label").withColumn("_fold", C.key_bucket(key, folds, SEED + 1))
     out = None
     for f in range(folds):
         train, held = data.where(F.col("_fold") != f), data.where(F.col("_fold") == f)
+        prepare = Pipeline(stages=feature_stages(train, columns)).fit(train)
+        fit_on = prepare.transform(train).select("features", "label").persist()
+        rows = prepare.transform(held).select(*dict.fromkeys([*key, target]), "label", "features")
         for name in names:
-            model = fit_regressor(train, columns, target, name)
-            held = model.transform(held).withColumnRenamed("prediction", f"base_{name}").select(*held.columns, f"base_{name}")
-        out = held if out is None else out.unionByName(held)
+            model = regressor(name).fit(fit_on)
+            rows = model.transform(rows).withColumnRenamed("prediction", f"base_{name}")
+        fit_on.unpersist()
+        rows = rows.drop("features")
+        out = rows if out is None else out.unionByName(rows)
     base = [f"base_{n}" for n in names]
-    meta = VectorAssembler(inputCols=base, outputCol="_meta").transform(with_label(out, target, None))
+    meta = VectorAssembler(inputCols=base, outputCol="_meta").transform(stored(out))
     model = LinearRegression(featuresCol="_meta", labelCol="label", maxIter=50).fit(meta)
     return model.transform(meta).select(*key, target, *base, "prediction")
 

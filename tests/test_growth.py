@@ -317,3 +317,22 @@ def test_regression_scores_of_a_constant_label(spark):
     for p, r2 in ((1.0, float("nan")), (2.0, float("-inf"))):
         got = J.regression_scores(spark.createDataFrame([(1.0, p)] * 3, "label double, prediction double")).first()
         assert got["r2"] == pytest.approx(r2, nan_ok=True) and got["mse"] == (p - 1) ** 2
+
+
+def test_stacking_prepares_a_fold_once_and_scores_its_rows_once(spark, monkeypatch):
+    df, made = learnt(spark), []
+    stages = J.feature_stages
+    monkeypatch.setattr(J, "feature_stages", lambda *args: made.append(1) or stages(*args))
+    out = J.ensemble_stacking(df, ["a", "b"], "y", ["id"], ["linear", "random_forest"])
+    assert len(made) == 3
+    # the result reads written predictions, no model scores behind it
+    assert "xxhash64" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = out.toPandas()
+    assert list(got.columns) == ["id", "y", "base_linear", "base_random_forest", "prediction"] and len(got) == 403
+    data = df.withColumn("_f", J.C.key_bucket(["id"], 3, J.SEED + 1))
+    for f in range(3):
+        for name in ("linear", "random_forest"):
+            model = J.fit_regressor(data.where(F.col("_f") != f), ["a", "b"], "y", name)
+            held = model.transform(data.where((F.col("_f") == f) & F.col("y").isNotNull())).select("id", "y", "prediction").toPandas()
+            both = held.merge(got, on=["id", "y"], how="left")
+            np.testing.assert_allclose(both[f"base_{name}"], both["prediction_x"], rtol=1e-9)
