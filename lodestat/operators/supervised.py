@@ -660,14 +660,21 @@ def automl(df: DataFrame, columns: list[str], target: str, key: list[str], top:
     classes = _classes(train, target) if task == "classification" else None
     judge = MulticlassClassificationEvaluator(metricName="accuracy") if classes else RegressionEvaluator(metricName="r2")
     held = with_label(test, target, classes).select(*key, *columns, "label")
-    scores, preds = {}, {}
+    # all of these take standardised features, which are prepared once
+    known = with_label(train, target, classes)
+    prepare = Pipeline(stages=feature_stages(known, columns)).fit(known)
+    fit_on = prepare.transform(known).select("features", "label").persist()
+    wide = prepare.transform(held).select(*key, "label", "features")
     for name in names:
-        model = fit_classifier(train, columns, target, name)[0] if classes else fit_regressor(train, columns, target, name)
-        preds[name] = model.transform(held).select(*key, "label", "prediction")
-        scores[name] = judge.evaluate(preds[name])
+        model = (classifier(name, len(classes), len(columns)) if classes else regressor(name)).fit(fit_on)
+        wide = model.transform(wide).withColumnRenamed("prediction", f"_by_{name}").select(*wide.columns, f"_by_{name}")
+    wide = stored(wide.drop("features"))
+    fit_on.unpersist()
+    preds = {n: wide.select(*key, "label", F.col(f"_by_{n}").alias("prediction")) for n in names}
+    scores = {n: judge.evaluate(preds[n]) for n in names}
     best = sorted(scores, key=scores.get, reverse=True)[:top]
     vote = ensemble_vote([preds[n] for n in best], key, kind="vote" if classes else "mean")
-    joined = held.select(*key, "label").join(vote, key).withColumn("prediction", F.col("ensemble").cast("double"))
+    joined = wide.select(*key, "label").join(vote, key).withColumn("prediction", F.col("ensemble").cast("double"))
     scores["ensemble"] = judge.evaluate(joined)
     winner = max(scores, key=scores.get)
     return df.sparkSession.createDataFrame(

@@ -336,3 +336,20 @@ def test_stacking_prepares_a_fold_once_and_scores_its_rows_once(spark, monkeypat
             held = model.transform(data.where((F.col("_f") == f) & F.col("y").isNotNull())).select("id", "y", "prediction").toPandas()
             both = held.merge(got, on=["id", "y"], how="left")
             np.testing.assert_allclose(both[f"base_{name}"], both["prediction_x"], rtol=1e-9)
+
+
+@pytest.mark.parametrize("target", ["y", "kind"])
+def test_automl_prepares_the_features_once(spark, monkeypatch, target):
+    df = learnt(spark).withColumn("kind", F.when(F.col("y") > 1, "high").when(F.col("y") < -1, "low").otherwise("mid"))
+    made, stages = [], J.feature_stages
+    monkeypatch.setattr(J, "feature_stages", lambda *args: made.append(1) or stages(*args))
+    got = {r["model"]: r["score"] for r in J.automl(df, ["a", "b"], target, ["id"]).collect()}
+    assert len(made) == 1 and len(got) == 4
+    train, test = J.parts(df, ["id"])
+    for name in got.keys() - {"ensemble"}:
+        if target == "kind":
+            model, classes = J.fit_classifier(train, ["a", "b"], target, name)
+            judge = J.MulticlassClassificationEvaluator(metricName="accuracy")
+        else:
+            model, classes, judge = J.fit_regressor(train, ["a", "b"], target, name), None, J.RegressionEvaluator(metricName="r2")
+        assert got[name] == pytest.approx(judge.evaluate(model.transform(J.with_label(test, target, classes))), rel=1e-9)
