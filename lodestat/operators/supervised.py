@@ -531,32 +531,136 @@ def importance_permutation(
 ) -> DataFrame:
     """Drop of r2 when one column is shuffled.
 
-    A shuffle pairs the i-th row by key with the i-th row in hash order: a
-    join on positions, not a driver permutation. All repeats are ordered at
-    once, and all columns moved and scored in the same pass.
+    A shuffle pairs the i-th row by key with the i-th row in hash order, not
+    by a driver permutation. All repeats and columns are scored in the same
+    pass. If the paired rows repeat each other, they are written repeat by
+    repeat, so that the disk holds the shuffle of one.
     """
     model = fit_regressor(df, columns, target, name)
-    data = stored(with_label(df, target, None).select(*key, *columns, "label"))
-    base_rows = stored(O.with_position(data, key, None, "_pos", None).select("_pos", *columns, "label"))
+    data = with_label(df, target, None).select(*key, *columns, "label")
+    rows = stored(O.with_position(data, key, None, "_pos", None))
+    n = rows.count()
 
-    def r2(moved: DataFrame) -> dict[tuple[int, int], float]:
-        e = F.col("label") - F.col("prediction")
-        sums = model.transform(moved).groupBy("_r", "_c").agg(F.sum(e * e).alias("err"), (F.var_pop("label") * F.count("label")).alias("tot"))
+    def r2(scored: DataFrame) -> dict[tuple[int, int], float]:
+        gap = F.col("_y") - F.col("prediction")
+        sums = scored.groupBy("_r", "_c").agg(F.sum(F.col("_yy") + F.col("_n") * gap * gap).alias("err")).crossJoin(F.broadcast(spread))
         with np.errstate(divide="ignore", invalid="ignore"):  # a constant label has no r2, as in MLlib's evaluator
             # one row per repeat and column
             return {(g["_r"], g["_c"]): float(1 - np.float64(g["err"]) / np.float64(g["tot"])) for g in sums.collect()}
 
-    base = r2(base_rows.withColumns({"_r": F.lit(-1), "_c": F.lit(-1)}))[-1, -1]
-    again = data.drop("label").withColumn("_r", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
-    order = O.with_position(again.withColumn("_h", hash_order(key, F.col("_r") + seed)), ["_h", *key], ["_r"], "_pos", None)
-    both = base_rows.join(order.select("_r", "_pos", *[F.col(c).alias(f"_m_{c}") for c in columns]), "_pos")
-    each = [F.struct(F.lit(i).alias("_c"), *[F.col(f"_m_{x}" if x == c else x).alias(x) for x in columns]) for i, c in enumerate(columns)]
-    got = r2(both.select("_r", "label", F.inline(F.array(*each))))
-    rows = [(columns[i], r, base - score) for (r, i), score in got.items()]
-    out = df.sparkSession.createDataFrame(rows, "column_name string, repeat int, drop double")
+    spread = rows.agg((F.var_pop("label") * F.count("label")).alias("tot"))
+    one = {"_r": F.lit(-1), "_c": F.lit(-1), "_n": F.lit(1), "_y": F.col("label"), "_yy": F.lit(0.0)}
+    base = r2(model.transform(rows.select(*columns, "label").withColumns(one)))[-1, -1]
+    moved, few = None, True
+    for r, part in enumerate(_paired(rows, n, columns, key, [seed + r for r in range(repeats)])):
+        part = part.withColumn("_r", F.lit(r))
+        if few:
+            part = stored(part)
+            few = r > 0 or part.count() <= n
+        moved = part if moved is None else moved.unionByName(part)
+    got = r2(model.transform(moved))
+    drops = [(columns[i], r, base - score) for (r, i), score in got.items()]
+    out = df.sparkSession.createDataFrame(drops, "column_name string, repeat int, drop double")
     return out.groupBy("column_name").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
 
 
+#: Rows that are paired in one group, and rows that a task deals out at once.
+PAIR_ROWS, DEAL_ROWS = 1 << 17, 1 << 20
+
+
+def _paired(rows: DataFrame, n: int, columns: list[str], key: list[str], seeds: list[int]) -> list[DataFrame]:
+    """For each seed ``columns..., _n, _y, _yy, _c``: the row at each position ``_pos`` with column number ``_c`` of the row that has that place in hash order.
+
+    Groups are ranges of the hash, and rows go to them packed by column: once by their hash and once by their position. Rows that a
+    shuffle makes equal inside a group leave it once, with their number, the mean label and the label's squared deviations from it.
+    """
+    groups = min(1 << 16, -(-n // PAIR_ROWS))
+    marks = [hash_order(key, seed) for seed in seeds]
+    group = F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("long") * groups / (1 << 16)).cast("int")
+    each = rows.select(F.posexplode(F.array(*marks)).alias("_r", "_h")).groupBy("_r", group.alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = np.zeros((len(seeds), groups), np.int64)
+    for g in each.collect():  # one row for each seed and group
+        sizes[g["_r"], g["_b"]] = g["n"]
+    held = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+
+    def words(hashes) -> np.ndarray:  # 16 bytes each
+        one = hashes.chunk(0)
+        return np.frombuffer(one.buffers()[2], ">u8", 2 * len(one), 16 * one.offset).reshape(-1, 2).astype(np.uint64)
+
+    def dealt(starts: np.ndarray):
+        def pack(table, part: np.ndarray, own: bool):
+            import pyarrow as pa
+
+            order = np.argsort(part, kind="stable")
+            table, part = table.take(pa.array(order)), part[order]
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            for i, j in zip(at, np.append(at[1:], len(part))):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as w:
+                    w.write_table(table.slice(i, j - i))
+                yield int(part[i]), own, sink.getvalue().to_pybytes()
+
+        def deal(batches):
+            import pyarrow as pa
+
+            def out(table):
+                table = table.combine_chunks()  # rows taken from many pieces take long
+                high = (words(table["_h"])[:, 0] >> np.uint64(48)).astype(np.int64)
+                packed = [*pack(table.drop(["label", "_pos"]), high * groups >> 16, False)]
+                packed += pack(table.drop(["_h"]), np.searchsorted(starts, table["_pos"].to_numpy(), "right") - 1, True)
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*packed), (pa.int32(), pa.bool_(), pa.binary()))], ["_b", "_own", "_rows"])
+
+            have, n = [], 0
+            for batch in batches:
+                have.append(batch)
+                n += len(batch)
+                if n >= DEAL_ROWS:
+                    yield out(pa.Table.from_batches(have))
+                    have, n = [], 0
+            if n:
+                yield out(pa.Table.from_batches(have))
+
+        return deal
+
+    def pair(table):
+        import pyarrow as pa
+
+        sides = []
+        for own in (True, False):
+            picked = [r for r, o in zip(table["_rows"], table["_own"].to_pylist()) if o == own]
+            sides.append(pa.concat_tables([pa.ipc.open_stream(r.as_buffer()).read_all() for r in picked]).combine_chunks())
+        base, other = sides
+        base = base.take(pa.array(np.argsort(base["_pos"].to_numpy(), kind="stable")))
+        high, low = words(other["_h"]).T
+        other = other.take(pa.array(np.lexsort((low, high))))
+        y = base["label"].to_numpy()
+
+        def codes(values) -> np.ndarray:  # 0: missing
+            return values.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+        own, new = [codes(base[c]) for c in columns], [codes(other[c]) for c in columns]
+        parts = []
+        for i, c in enumerate(columns):
+            at = new[i]
+            for k in range(len(columns)):  # the whole row as one number, which stays below the number of rows
+                if k != i:
+                    at = np.unique(at * (own[k].max() + 1) + own[k], return_inverse=True)[1]
+            first, at, n = np.unique(at, return_index=True, return_inverse=True, return_counts=True)[1:]
+            mean = np.bincount(at, y) / n
+            square = np.bincount(at, (y - mean[at]) ** 2)
+            taken = pa.array(first)
+            values = [(other if x == c else base)[x].take(taken) for x in columns]
+            parts.append(pa.table([*values, pa.array(n, pa.int64()), pa.array(mean), pa.array(square), pa.array([i] * len(n), pa.int32())], [*columns, "_n", "_y", "_yy", "_c"]))
+        return pa.concat_tables(parts)
+
+    out = []
+    for mark, size in zip(marks, sizes):
+        starts = np.cumsum(size) - size
+        sent = rows.select(*columns, "label", "_pos", F.unhex(mark).alias("_h")).mapInArrow(dealt(starts), "_b int, _own boolean, _rows binary")
+        out.append(sent.groupBy("_b").applyInArrow(pair, f"{held}, _n long, _y double, _yy double, _c int"))
+    return out
+
+
 def partial_dependence(df: DataFrame, columns: list[str], target: str, feature: str, points: int = 100, name: str = "random_forest") -> DataFrame:
     """Mean prediction over an even grid of one feature."""
     model = fit_regressor(df, columns, target, name)

@@ -353,3 +353,46 @@ def test_automl_prepares_the_features_once(spark, monkeypatch, target):
         else:
             model, classes, judge = J.fit_regressor(train, ["a", "b"], target, name), None, J.RegressionEvaluator(metricName="r2")
         assert got[name] == pytest.approx(judge.evaluate(model.transform(J.with_label(test, target, classes))), rel=1e-9)
+
+
+@pytest.mark.parametrize("discrete", [True, False])
+def test_importance_pairs_rows_in_groups(spark, monkeypatch, discrete):
+    monkeypatch.setattr(J, "PAIR_ROWS", 200)
+    monkeypatch.setattr(J, "DEAL_ROWS", 100)
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 4, 500).astype(float) if discrete else rng.normal(size=500)
+    x = pd.DataFrame({"id": np.arange(500), "a": a, "b": rng.integers(0, 3, 500), "s": rng.choice(["u", "v"], 500)})
+    x["y"] = x["a"] + x["b"] + 2 * (x["s"] == "u") + rng.normal(size=500)
+    rows = [(int(i), None if i % 50 == 0 else float(a), int(b), s, float(y)) for i, a, b, s, y in x.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "id int, a double, b int, s string, y double")
+    fit, scored, kept = J.fit_regressor, [], []
+
+    class Watched:
+        def __init__(self, model):
+            self.model = model
+
+        def transform(self, d):
+            scored.append(d)
+            return self.model.transform(d)
+
+    monkeypatch.setattr(J, "fit_regressor", lambda *args: kept.append(fit(*args)) or Watched(kept[-1]))
+    got = {r["column_name"]: r for r in J.importance_permutation(df, ["a", "b", "s"], "y", ["id"], "linear", repeats=3).collect()}
+    moved = scored[1].toPandas()
+    assert (moved.groupby(["_r", "_c"])["_n"].sum() == 500).all()
+    # repeats whose rows are few are written one by one, so that no job holds the shuffles of all
+    assert ("md5" in scored[1]._jdf.queryExecution().optimizedPlan().toString()) != discrete
+    if discrete:
+        assert len(moved) < 9 * 500 * 0.8
+    drops = {c: [] for c in "abs"}
+    for r in range(3):
+        order = [int(v[0]) for v in df.select("id").orderBy(J.hash_order(["id"], 42 + r), "id").collect()]
+        for c in "abs":
+            swapped = [list(row) for row in rows]
+            at = " abs".index(c)
+            for row, i in zip(swapped, order):
+                row[at] = rows[i][at]
+            both = [kept[0].transform(spark.createDataFrame(v, df.schema)).select("y", "prediction").toPandas() for v in (rows, swapped)]
+            base, new = (1 - ((p["y"] - p["prediction"]) ** 2).sum() / ((x["y"] - x["y"].mean()) ** 2).sum() for p in both)
+            drops[c].append(base - new)
+    for c, v in drops.items():
+        assert got[c]["importance"] == pytest.approx(np.mean(v), rel=1e-8) and got[c]["std"] == pytest.approx(np.std(v), rel=1e-6)
