@@ -396,3 +396,14 @@ def test_importance_pairs_rows_in_groups(spark, monkeypatch, discrete):
             drops[c].append(base - new)
     for c, v in drops.items():
         assert got[c]["importance"] == pytest.approx(np.mean(v), rel=1e-8) and got[c]["std"] == pytest.approx(np.std(v), rel=1e-6)
+
+
+def test_nmf_blocks_follow_the_weights(spark, monkeypatch):
+    rows = [(i, "red green blue" if i % 2 else "bread milk cheese") for i in range(12)]
+    df, used, plain = spark.createDataFrame(rows, "id int, text string"), [], V.ALS.setNumBlocks
+    monkeypatch.setattr(V.ALS, "setNumBlocks", lambda self, n: used.append(n) or plain(self, n))
+    for size, blocks in ((1 << 21, 10), (3, 20), (1, 60), (0.5, 64)):
+        monkeypatch.setattr(V, "BLOCK_WEIGHTS", size)
+        topics, mix = V.topics_nmf(df, "id", "text", 2, 3)
+        assert used[-1] == blocks and mix.count() == 12
+    assert topics.select("topic").distinct().count() == 2
