@@ -565,7 +565,7 @@ def importance_permutation(
 
 
 #: Rows that are paired in one group, and rows that a task deals out at once.
-PAIR_ROWS, DEAL_ROWS = 1 << 17, 1 << 20
+PAIR_ROWS, DEAL_ROWS = 1 << 18, 1 << 20
 
 
 def _paired(rows: DataFrame, n: int, columns: list[str], key: list[str], seeds: list[int]) -> list[DataFrame]:
@@ -607,7 +607,10 @@ def _paired(rows: DataFrame, n: int, columns: list[str], key: list[str], seeds:
                 table = table.combine_chunks()  # rows taken from many pieces take long
                 high = (words(table["_h"])[:, 0] >> np.uint64(48)).astype(np.int64)
                 packed = [*pack(table.drop(["label", "_pos"]), high * groups >> 16, False)]
-                packed += pack(table.drop(["_h"]), np.searchsorted(starts, table["_pos"].to_numpy(), "right") - 1, True)
+                pos = table["_pos"].to_numpy()
+                part = np.searchsorted(starts, pos, "right") - 1
+                own = table.drop(["_h", "_pos"]).append_column("_at", pa.array((pos - starts[part]).astype(np.int32)))
+                packed += pack(own, part, True)
                 return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*packed), (pa.int32(), pa.bool_(), pa.binary()))], ["_b", "_own", "_rows"])
 
             have, n = [], 0
@@ -630,7 +633,7 @@ def _paired(rows: DataFrame, n: int, columns: list[str], key: list[str], seeds:
             picked = [r for r, o in zip(table["_rows"], table["_own"].to_pylist()) if o == own]
             sides.append(pa.concat_tables([pa.ipc.open_stream(r.as_buffer()).read_all() for r in picked]).combine_chunks())
         base, other = sides
-        base = base.take(pa.array(np.argsort(base["_pos"].to_numpy(), kind="stable")))
+        base = base.take(pa.array(np.argsort(base["_at"].to_numpy(), kind="stable")))
         high, low = words(other["_h"]).T
         other = other.take(pa.array(np.lexsort((low, high))))
         y = base["label"].to_numpy()
