@@ -407,3 +407,23 @@ def test_nmf_blocks_follow_the_weights(spark, monkeypatch):
         topics, mix = V.topics_nmf(df, "id", "text", 2, 3)
         assert used[-1] == blocks and mix.count() == 12
     assert topics.select("topic").distinct().count() == 2
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from lodestat import session
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size())}
+
+    before, was = {f for f in shuffled() if f.startswith("shuffle_")}, spark.conf.get(session.FREED, None)
+    counts = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    kept = session.stored(counts)
+    until = time.time() + 20
+    while (left := {f for f in shuffled() if f.startswith("shuffle_")} - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and kept.count() == counts.count() == 10 and spark.conf.get(session.FREED, None) == was
